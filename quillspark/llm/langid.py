@@ -19,9 +19,15 @@ UND = "und"
 PER_LANGUAGE = 96  # documents that a dictionary is made of at most
 TAKE = 2_000  # characters that each gives to it at most
 LANGUAGES = 1_000  # languages that fit() takes at most: bounds what goes to the driver
-BLOCK = 2_048  # characters encoded at once
-LEVEL = 3
+BLOCK = 1_024  # characters encoded at once
+LEVEL = 9
 LETTER = re.compile(r"[^\W\d_]")
+OTHER = re.compile(r"[\W\d_]+")
+
+
+def plain(text: str) -> str:
+    """What is encoded, of texts as of dictionaries: lower-case letters, with single spaces."""
+    return OTHER.sub(" ", text.lower())
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, take: int = TAKE) -> dict[str, bytes]:
@@ -38,7 +44,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, take: int = TAKE) ->
     by: dict[str, list] = {}
     for r in got.collect():
         by.setdefault(r.lang, []).append((r.doc_id, r.t))
-    return {lang: "\n".join(t for _, t in sorted(x)).encode() for lang, x in sorted(by.items())}
+    return {lang: " ".join(plain(t) for _, t in sorted(x)).encode() for lang, x in sorted(by.items())}
 
 
 class Model:
@@ -51,11 +57,12 @@ class Model:
         self.encoders = []
         for raw in dictionaries.values():
             d = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
-            p = z.ZstdCompressionParameters.from_level(LEVEL, dict_size=len(raw), write_content_size=False)
+            p = z.ZstdCompressionParameters.from_level(LEVEL, source_size=BLOCK, dict_size=len(raw), write_content_size=False)
             d.precompute_compress(compression_params=p)
             self.encoders.append(z.ZstdCompressor(dict_data=d, compression_params=p).compress)
 
     def sizes(self, text: str) -> list[int]:
+        text = plain(text)
         blocks = [text[i : i + BLOCK].encode() for i in range(0, len(text), BLOCK)]
         return [sum(len(f(b)) for b in blocks) for f in self.encoders]
 

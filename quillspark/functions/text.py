@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,12 +25,16 @@ def _upto(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once; a lambda would else do it again at each use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 # ---------------------------------------------------------------- analysis
 
 
 def strip_accents(s) -> Column:
     """NFKD without non-spacing marks, by an Arrow UDF: Spark has no normalisation."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def strip(texts: pd.Series) -> pd.Series:
@@ -63,18 +68,25 @@ def token_ngrams(tokens: Column, low: int, high: int) -> Column:
     """n-grams of sizes low..high, by size, joined by one space."""
     if (low, high) == (1, 1):
         return tokens
-    by_size = [F.transform(_upto(F.size(tokens) - (n - 1)), lambda i, n=n: F.array_join(F.slice(tokens, i + 1, n), " ")) for n in range(low, high + 1)]
-    return F.flatten(F.array(*by_size))
+
+    def of(t):
+        def size(n):
+            return F.transform(_upto(F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i + 1, n), " "))
+
+        return F.flatten(F.array(*map(size, range(low, high + 1))))
+
+    return let(tokens, of)
 
 
 def _windows(s: Column, n: int) -> Column:
-    return F.transform(_upto(F.length(s) - (n - 1)), lambda i: F.substr(s, i + 1, F.lit(n)))
+    """All windows of n characters, by place in the array of characters: linear in the text."""
+    joined = lambda c, i: F.concat(*[F.element_at(c, i + 1 + j) for j in range(n)])
+    return let(chars(s), lambda c: F.transform(_upto(F.size(c) - (n - 1)), lambda i: joined(c, i)))
 
 
 def char_ngrams(s, low: int, high: int) -> Column:
     """Character n-grams over the text with runs of white space made one space."""
-    s = F.regexp_replace(_c(s), r"\s+", " ")
-    return F.flatten(F.array(*[_windows(s, n) for n in range(low, high + 1)]))
+    return let(F.regexp_replace(_c(s), r"\s+", " "), lambda t: F.flatten(F.array(*[_windows(t, n) for n in range(low, high + 1)])))
 
 
 def char_wb_ngrams(s, low: int, high: int) -> Column:
@@ -84,12 +96,8 @@ def char_wb_ngrams(s, low: int, high: int) -> Column:
 
     def of(word):
         padded = F.concat(F.lit(" "), word, F.lit(" "))
-        size = F.length(padded)
-        parts = []
-        for n in range(low, high + 1):
-            short = F.when((size < n) & ((n == low) | (size >= n - 1)), F.array(padded)) if n == low else None
-            grams = _windows(padded, n)
-            parts.append(F.when(size >= n, grams).otherwise(short if short is not None else F.array().cast("array<string>")))
+        short = F.when(F.length(padded) < low, F.array(padded)).otherwise(F.array().cast("array<string>"))
+        parts = [short, *[_windows(padded, n) for n in range(low, high + 1)]]
         return F.flatten(F.array(*parts))
 
     return F.flatten(F.transform(words, of))

@@ -3,6 +3,7 @@ fitted vocabulary joins as a static table."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +16,6 @@ def hash_stream(docs: DataFrame, options: HashOptions = HashOptions(), id_col: s
     terms = options.count.terms(text_col)
     rows = docs.select(id_col, terms.alias("terms"))
 
-    import pandas as pd
-
     n, alternate, binary, norm = options.n_features, options.alternate_sign, options.count.binary, options.norm
 
     @F.pandas_udf("array<struct<col:bigint,value:double>>")

@@ -10,7 +10,8 @@
    large-star and small-star steps.
 4. Buckets that still hold several components get the pairs between these: their members are
    cut into blocks, blocks are compared by compact signatures, and what may reach the
-   threshold is confirmed on full sets too. So no cap is set on a bucket.
+   threshold is confirmed on full sets in place. So no cap is set on a bucket, and no pairs
+   leave a block but the edges that join its components.
 
 Tables between the steps are written to the shared folder. Text never goes through a shuffle:
 the sets of the documents that need confirming are made in a second pass, picked by a bitmap
@@ -140,6 +141,18 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return found
 
 
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return False
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int(np.count_nonzero(y[at] == x))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity, as edges (u, v)."""
     left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
@@ -151,15 +164,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             ok = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                if not len(x):
-                    continue
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int(np.count_nonzero(y[at] == x))
-                ok[i] = 100 * both >= percent * (len(x) + len(y) - both)
+                ok[i] = alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
             kept = batch.filter(pa.array(ok))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["u", "v"])
 
@@ -195,41 +200,47 @@ def components(scratch: C.Scratch, edges: DataFrame, max_rounds: int = 60) -> Da
     raise RuntimeError("components did not settle")
 
 
-def block_pairs(members: DataFrame, percent: int, values: int) -> DataFrame:
-    """Pairs of different components in one bucket that may reach the threshold.
+def block_edges(members: DataFrame, percent: int, values: int) -> DataFrame:
+    """Edges (u, v) that join different components within a bucket, confirmed on full sets.
 
-    members: key, id, n, component, compact. Blocks of about 256 members meet in
-    (bucket, block, block) groups, of bounded size each; a pair passes if its sizes allow the
-    similarity and the compact signatures agree to within about eight standard deviations.
+    members: key, band, id, n, component, keys, compact, hashes. Blocks of about 256 members meet
+    in (bucket, block, block) groups, of bounded size each. A pair is looked at in the first band
+    that it shares, if its sizes allow the similarity, its compact signatures agree to within
+    eight standard deviations and nothing found in the group joins it yet; so a group gives
+    fewer edges than it has members, however many pairs are alike.
     """
     sizes = members.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.lit(1)).cast("int").alias("blocks"))
     dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    spread = dealt.withColumn("at", F.explode(others)).select("key", "at.i", "at.j", "block", "id", "n", "component", "compact")
+    spread = dealt.withColumn("at", F.explode(others)).select("key", "at.i", "at.j", "block", "band", "id", "n", "component", "keys", "compact", "hashes")
     t = percent / 100
-    floor = t - 8 * (t * (1 - t) / values) ** 0.5 - 0.05
+    floor = t - 8 * (t * (1 - t) / values) ** 0.5 - 1 / 256
 
     def compare(pdf):
         import pandas as pd
 
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        side = pdf["block"].to_numpy()
-        L, R = pdf[side == i], pdf[side == j]
+        i, j, band = pdf["i"].iloc[0], pdf["j"].iloc[0], pdf["band"].iloc[0]
+        side, ids, n = (pdf[c].to_numpy() for c in ("block", "id", "n"))
+        sig = np.stack([np.frombuffer(x, np.uint8) for x in pdf["compact"]])
+        keys = np.stack(pdf["keys"].to_list())[:, :band]
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["hashes"]]
+        root = np.unique(pdf["component"].to_numpy(), return_inverse=True)[1]  # relabelled on a union
+        right = np.flatnonzero(side == j)
         out = []
-        sig = np.stack([np.frombuffer(x, np.uint8) for x in R["compact"]]) if len(R) else None
-        rid, rn, rc = (R[c].to_numpy() for c in ("id", "n", "component"))
-        for x, n, c, s in zip(L["id"], L["n"], L["component"], L["compact"], strict=True):
-            may = (rc != c) & (100 * np.minimum(rn, n) >= percent * np.maximum(rn, n))
+        for x in np.flatnonzero(side == i):
+            may = (root[right] != root[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))
             if i == j:
-                may &= rid > x
-            at = np.flatnonzero(may)
-            if len(at):
-                same = (sig[at] == np.frombuffer(s, np.uint8)).mean(axis=1)
-                out += [(x, y) for y in rid[at[(same - 1 / 256) / (1 - 1 / 256) >= floor]]]
-        a = np.array(out, np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": a.min(axis=1) if len(a) else a[:, 0], "b": a.max(axis=1) if len(a) else a[:, 1]})
+                may &= right > x
+            at = right[may]
+            at = at[(sig[at] == sig[x]).mean(axis=1) >= floor]
+            at = at[~(keys[at] == keys[x]).any(axis=1)]
+            for y in at:
+                if root[y] != root[x] and alike(sets[x], sets[y], percent):
+                    out.append((ids[x], ids[y]))
+                    root[root == root[y]] = root[x]
+        return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["u", "v"])
 
-    return spread.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return spread.groupBy("key", "i", "j").applyInPandas(compare, "u long, v long")
 
 
 def near_duplicates(
@@ -263,11 +274,11 @@ def near_duplicates(
         .select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "keys", "compact")
     )
     reps = scratch.keep(reps)
-    entries = reps.select("id", "n", F.explode("keys").alias("key"))
+    entries = reps.select("id", "n", F.posexplode("keys").alias("band", "key"))
     buckets = scratch.keep(
         entries.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last"), F.count("*").alias("members")).where("leader <> last")
     )
-    in_buckets = scratch.keep(entries.join(buckets, "key").select("key", "id", "n", "leader", "members"))
+    in_buckets = scratch.keep(entries.join(buckets, "key").select("key", "band", "id", "n", "leader", "members"))
     sizes = reps.select(F.col("id").alias("leader"), F.col("n").alias("m"))
     stars = (
         in_buckets.where("id <> leader").select("id", "n", "leader").distinct().join(sizes, "leader")
@@ -281,13 +292,17 @@ def near_duplicates(
     comp = components(scratch, edges)
 
     of = in_buckets.where("members > 2").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    members = scratch.keep(of.join(mixed, "key", "left_semi").select("key", "id", "n", "component"))
+    mixed = of.groupBy("key").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("band").alias("first"), F.count("*").alias("m"),
+        F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who"),
+    ).where("lo <> hi")
+    # of buckets with the same members the one of the first band stands for all
+    mixed = mixed.groupBy("m", "who").agg(F.min_by("key", "first").alias("key")).select("key")
+    members = scratch.keep(of.join(mixed, "key", "left_semi").select("key", "band", "id", "n", "component"))
     if members.limit(1).count():
-        full = members.join(reps.select("id", "compact"), "id")
-        more = block_pairs(full, percent, 2 * permutations).join(stars, ["a", "b"], "left_anti")
-        found = confirm(scratch.keep(more), sets, percent)
-        comp = components(scratch, edges.union(scratch.keep(found)))
+        full = members.join(reps.select("id", "keys", "compact"), "id").join(sets, "id")
+        found = scratch.keep(block_edges(full, percent, 2 * permutations))
+        comp = components(scratch, edges.union(found))
 
     linked = classes.join(comp, F.col("rep") == F.col("id"), "left").select(
         "n_shingles", "f1", "f2", F.coalesce("component", "rep").alias("component_id")

@@ -106,28 +106,18 @@ def char_wb_ngrams(s, low: int, high: int) -> Column:
 # ---------------------------------------------------------------- q-gram similarity
 
 
-def _counts(s, q: int) -> tuple[Column, Column]:
-    grams = F.array_sort(_windows(_c(s), q))
-    return grams, F.size(grams)
-
-
-def qgram_overlap(a, b, q: int = 1) -> tuple[Column, Column, Column]:
-    """(multiset intersection, grams of a, grams of b) by the gram counts of both sides.
-
-    Each distinct gram of a counts min(times in a, times in b); times come from the lengths
-    of filtered arrays, which keeps all of it in one expression.
-    """
+def _similarity(a, b, q, formula) -> Column:
+    """formula(multiset intersection, grams of a, grams of b), as doubles. Each distinct gram
+    counts min(times in a, times in b); times come from the lengths of filtered arrays."""
     if q < 1:
         raise ValueError("q must be at least 1")
-    x, y = _windows(_c(a), q), _windows(_c(b), q)
-    times = lambda arr, g: F.size(F.filter(arr, lambda h: h == g))
-    both = F.aggregate(F.array_intersect(x, y), F.lit(0), lambda s, g: s + F.least(times(x, g), times(y, g)))
-    return both, F.size(x), F.size(y)
+    times = lambda grams, g: F.size(F.filter(grams, lambda h: h == g))
 
+    def of(x, y):
+        both = F.aggregate(F.array_intersect(x, y), F.lit(0), lambda s, g: s + F.least(times(x, g), times(y, g)))
+        return formula(both.cast("double"), F.size(x).cast("double"), F.size(y).cast("double"))
 
-def _similarity(a, b, q, formula) -> Column:
-    i, x, y = qgram_overlap(a, b, q)
-    return formula(i.cast("double"), x.cast("double"), y.cast("double"))
+    return let(_windows(_c(a), q), lambda x: let(_windows(_c(b), q), lambda y: of(x, y)))
 
 
 def _divide(top: Column, below: Column, empty: float) -> Column:
@@ -203,15 +193,19 @@ def l2_norm(a) -> Column:
 
 def l2_normalize(a) -> Column:
     """Each component over the norm, as double; the zero vector stays."""
-    a, n = _c(a), l2_norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / F.nullif(n, F.lit(0.0))).otherwise(x.cast("double")))
+    a = _c(a)
+    scaled = lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / F.nullif(n, F.lit(0.0))).otherwise(x.cast("double")))
+    return let(l2_norm(a), scaled)
 
 
 def mean_pool(tokens, mask) -> Column:
     """Mean of the token vectors whose mask isn't 0, over max(their number, 1e-9)."""
     tokens, mask = _c(tokens), _c(mask)
-    used = F.filter(F.arrays_zip(tokens.alias("v"), mask.alias("m")), lambda t: t["m"] != 0)
-    dims = F.size(tokens[0])
-    zero = F.transform(_upto(dims), lambda _: F.lit(0.0))
-    total = F.aggregate(used, zero, lambda s, t: F.zip_with(s, t["v"], lambda x, y: x + y.cast("double")))
-    return F.transform(total, lambda x: x / F.greatest(F.size(used).cast("double"), F.lit(1e-9)))
+
+    def of(used):
+        zero = F.transform(tokens[0], lambda _: F.lit(0.0))
+        total = F.aggregate(used, zero, lambda s, t: F.zip_with(s, t["v"], lambda x, y: x + y.cast("double")))
+        count = F.greatest(F.size(used).cast("double"), F.lit(1e-9))
+        return let(count, lambda n: F.transform(total, lambda x: x / n))
+
+    return let(F.filter(F.arrays_zip(tokens.alias("v"), mask.alias("m")), lambda t: t["m"] != 0), of)

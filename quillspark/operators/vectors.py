@@ -13,6 +13,10 @@ from pyspark.sql import Window as W
 from ..functions import text as T
 
 
+#: Bytes of queries that are broadcast at once.
+QUERY_BYTES = 64 << 20
+
+
 @dataclass(frozen=True)
 class VectorIndex:
     """Rows (id, vector): the stored vectors, normalised on the way in unless told otherwise."""
@@ -29,44 +33,56 @@ class VectorIndex:
         rows = df.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), v.alias("vector"))
         return VectorIndex(rows, dimension, normalize)
 
-    def search(self, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", per_block: int = 1024) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block_bytes: int = QUERY_BYTES) -> DataFrame:
         """(query_id, id, score, rank): each query's min(k, count) highest products, ties by id.
 
-        queries is a stated set; it is packed in blocks of bounded size that meet all rows, one
-        matrix product a block, and only k rows per query and input batch leave a task.
+        queries is a stated set. It meets all rows in blocks of at most block_bytes, each broadcast;
+        a block is one pass of matrix products over the rows, and only k rows per query and input
+        batch leave a task.
         """
         if k < 1:
             raise ValueError("k must be 1 or more")
         asked = VectorIndex.build(queries, self.dimension, key, vector, self.normalized).rows
-        blocks = asked.withColumn("b", F.floor((F.row_number().over(W.partitionBy(F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")) - 1) / per_block) * 64 + F.pmod(F.xxhash64("id"), F.lit(64)))
-        blocks = blocks.groupBy("b").agg(F.collect_list(F.struct("id", "vector")).alias("queries")).select("queries")
-        kind = dict(self.rows.dtypes)["id"]
-        qkind = dict(asked.dtypes)["id"]
-        out = None
-        for block in blocks.toLocalIterator():  # bounded blocks, one at a time
-            held = [(r.id, r.vector) for r in block.queries]
-
-            def score(batches, held=held):
-                import pyarrow as pa
-
-                ids, q = [i for i, _ in held], np.array([v for _, v in held])
-                for batch in batches:
-                    if not batch.num_rows:
-                        continue
-                    x = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                    s = q @ x.T
-                    n = min(k, s.shape[1])
-                    cut = np.partition(s, -n, axis=1)[:, -n]
-                    at, row = np.nonzero(s >= cut[:, None])
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at]), batch.column("id").take(pa.array(row)), pa.array(s[at, row])], names=["query_id", "id", "score"])
-
-            part = self.rows.mapInArrow(score, f"query_id {qkind}, id {kind}, score double")
-            out = part if out is None else out.union(part)
-        if out is None:
-            out = self.rows.sparkSession.createDataFrame([], f"query_id {qkind}, id {kind}, score double")
+        schema = f"query_id {dict(asked.dtypes)['id']}, id {dict(self.rows.dtypes)['id']}, score double"
+        parts = [self._block(block, k, schema) for block in _query_blocks(asked, max(1, block_bytes // (8 * self.dimension)))]
+        out = self.rows.sparkSession.createDataFrame([], schema) if not parts else parts[0]
+        for part in parts[1:]:
+            out = out.union(part)
         rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "id"))
         return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
+    def _block(self, block: tuple[list, np.ndarray], k: int, schema: str) -> DataFrame:
+        held = self.rows.sparkSession.sparkContext.broadcast(block)
+
+        def score(batches):
+            import pyarrow as pa
+
+            ids, q = held.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                n = min(k, len(x))
+                for i in range(0, len(q), 256):
+                    s = q[i : i + 256] @ x.T
+                    at, row = np.nonzero(s >= np.partition(s, -n, axis=1)[:, -n, None])
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[i + j] for j in at]), batch.column("id").take(pa.array(row)), pa.array(s[at, row])], names=["query_id", "id", "score"])
+
+        return self.rows.mapInArrow(score, schema)
+
+
+def _query_blocks(asked: DataFrame, rows: int):
+    """(ids, vectors) of at most `rows` queries each."""
+    ids, vecs = [], []
+    for r in asked.toLocalIterator():
+        ids.append(r.id)
+        vecs.append(r.vector)
+        if len(ids) == rows:
+            yield ids, np.array(vecs)
+            ids, vecs = [], []
+    if ids:
+        yield ids, np.array(vecs)
+
 
 # ---------------------------------------------------------------- batch encoding
 

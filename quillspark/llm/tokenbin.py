@@ -106,7 +106,7 @@ def count(docs: DataFrame, path: str, length: int, end_id: int = 2) -> DataFrame
 
         enc, n = encoder(path), 0
         for batch in batches:
-            n += sum(len(enc.ids(t.as_py() or "")) // 4 + 1 for t in batch.column("text"))
+            n += sum(enc.count(t or "") + 1 for t in batch.column("text").to_pylist())
         if n:
             cols = [[TaskContext.get().partitionId()], [-(-n // length)], [n]]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["split", "sequences", "tokens"])

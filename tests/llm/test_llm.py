@@ -202,9 +202,10 @@ def test_languages_odd_rows(odd, none):
 def test_ids_equal_the_tokenizers(corpus):
     enc = bpe.Encoder(PATH)
     assert enc.ranked is not None
-    odd = ["a  b", "\n x y", " lead", "trail ", "don't we'll", "a<|endoftext|> b", "x\n\ny z\t w", "  ", "", "日本 語", "a b c", "1 22 $$ %%", "a\n b", "é" * 3000]
+    odd = ["a  b", "\n x y", " lead", "trail ", "don't we'll", "a<|endoftext|> b", "x\n\ny z\t w", "  ", "", "日本 語", "a b c", "1 22 $$ %%", "a\n b", "é" * 3000, "a\x1cb c", "a\xa0b c", "a\tb c", "a\t\tb c", "é\u3000 x"]
     for t in [*odd, *list(corpus[1].values())[:120]]:
         for _ in range(2):
+            assert enc.count(t) == len(enc.ids(t)) // 4
             assert np.frombuffer(enc.ids(t), "<u4").tolist() == enc.whole.encode(t, add_special_tokens=False).ids
 
 

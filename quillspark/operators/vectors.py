@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
 
@@ -44,14 +45,15 @@ class VectorIndex:
             raise ValueError("k must be 1 or more")
         asked = VectorIndex.build(queries, self.dimension, key, vector, self.normalized).rows
         schema = f"query_id {dict(asked.dtypes)['id']}, id {dict(self.rows.dtypes)['id']}, score double"
-        parts = [self._block(block, k, schema) for block in _query_blocks(asked, max(1, block_bytes // (8 * self.dimension)))]
+        kind = to_arrow_type(asked.schema["id"].dataType)
+        parts = [self._block(block, k, schema, kind) for block in _query_blocks(asked, max(1, block_bytes // (8 * self.dimension)))]
         out = self.rows.sparkSession.createDataFrame([], schema) if not parts else parts[0]
         for part in parts[1:]:
             out = out.union(part)
         rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "id"))
         return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
-    def _block(self, block: tuple[list, np.ndarray], k: int, schema: str) -> DataFrame:
+    def _block(self, block: tuple[list, np.ndarray], k: int, schema: str, kind) -> DataFrame:
         held = self.rows.sparkSession.sparkContext.broadcast(block)
 
         def score(batches):
@@ -66,7 +68,7 @@ class VectorIndex:
                 for i in range(0, len(q), 256):
                     s = q[i : i + 256] @ x.T
                     at, row = np.nonzero(s >= np.partition(s, -n, axis=1)[:, -n, None])
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i + j] for j in at]), batch.column("id").take(pa.array(row)), pa.array(s[at, row])], names=["query_id", "id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[i + j] for j in at], kind), batch.column("id").take(pa.array(row)), pa.array(s[at, row])], names=["query_id", "id", "score"])
 
         return self.rows.mapInArrow(score, schema)
 

@@ -135,7 +135,7 @@ def scan(docs: DataFrame, ratio: list[float]) -> DataFrame:
     docs = base_spans(docs.select(F.col("doc_id").cast("long"), "text"))
     docs = docs.withColumn("_base", F.array_sort(F.concat("_assign", "_access", "_hex")))
     docs = _with_spans(docs, "_token", TOKEN, 3)
-    table = F.lit(ratio)
+    table = F.expr("array(" + ",".join(f"{x!r}D" for x in ratio) + ")")  # lit() would make a column of each entry
     free = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
     mixed = lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")
 

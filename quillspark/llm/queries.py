@@ -121,5 +121,27 @@ left join t on d.rowid = t.r
 """
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+OP10_SQL = f"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') as w from documents
+), g as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as g from w
+), n as (
+  select w.doc_id, count(g.g) as n from w left join g on g.doc_id = w.doc_id group by w.doc_id
+), b as (
+  select x.doc_id as a, y.doc_id as b, count(*) as k from g x join g y on x.g = y.g and x.doc_id <> y.doc_id group by all
+), e as (
+  select b.a, b.b from b join n x on x.doc_id = b.a join n y on y.doc_id = b.b where 100 * b.k >= 85 * (x.n + y.n - b.k)
+), r(doc_id, c) as (
+  select doc_id, doc_id from n union select e.b, r.c from r join e on e.a = r.doc_id
+), m as (
+  select doc_id, min(c) as c from r group by doc_id
+)
+select n.doc_id, n.n as n_shingles, m.c as component_id, m.c = n.doc_id as kept from n join m on m.doc_id = n.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_topk": OP6_SQL, "op7_line_dedup": OP7_SQL}
+    return {"op10_minmax_near_dedup": OP10_SQL, "op6_exact_topk": OP6_SQL, "op7_line_dedup": OP7_SQL}

@@ -271,6 +271,7 @@ def near_duplicates(
         per_doc.where("n_shingles > 0")
         .join(classes, ["n_shingles", "f1", "f2"])
         .where("doc_id = rep")
+        .dropDuplicates(["n_shingles", "f1", "f2"])  # rows that repeat; by the join's keys, so without a shuffle
         .select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "keys", "compact")
     )
     reps = scratch.keep(reps)

@@ -97,17 +97,19 @@ def predictor(spark: SparkSession, dictionaries: dict[str, bytes]):
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
-    """All columns of docs, and lang_pred, score, margin: the language of each whole text.
+    """All columns of docs, and lang_pred, score, margin: the language of each whole text. Columns
+    of these names are replaced.
 
     A text that is null or has no letter is 'und' with score 0. Ties go to the language first
     in the alphabet, with margin 0. Repeated rows are predicted alike; without labelled rows
     all is 'und'.
     """
     p = predictor(docs.sparkSession, dictionaries)(F.col("text"))
+    docs = docs.drop("lang_pred", "score", "margin")
     return docs.select("*", p["lang"].alias("lang_pred"), p["score"].alias("score"), p["margin"].alias("margin"))
 
 
 def accept(docs: DataFrame, dictionaries: dict[str, bytes], least_margin: float) -> DataFrame:
     """The documents whose language is certain: not 'und', and with a margin over least_margin."""
     p = predictor(docs.sparkSession, dictionaries)(F.col("text"))
-    return docs.withColumn("_p", p).where(f"_p.lang <> '{UND}' and _p.margin > {least_margin}").drop("_p")
+    return docs.withColumn("_qs_p", p).where(f"_qs_p.lang <> '{UND}' and _qs_p.margin > {least_margin}").drop("_qs_p")

@@ -48,25 +48,27 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", sites: int = SITES
     text, unless more than half of a text's characters (line ends aside) would go: such a text
     is a copy of a document, not a page with boilerplate, and is kept whole. Rows are kept, even
     if nothing of a text is left but short lines. A null text stays null, with 0 lines; an empty
-    text is one empty line. A null site counts for no line. Repeated rows are treated alike.
+    text is one empty line. Columns of the names n_lines and n_removed are replaced. A null site counts for no line. Repeated rows are treated alike.
     """
     scratch = C.Scratch(docs.sparkSession)
     lines = _lines(docs.withColumn("doc_id", F.col("doc_id").cast("long")), site)
     wide = scratch.keep(boilerplate(lines, scratch, sites))
     hits = lines.join(wide, ["h1", "h2"]).groupBy("k1", "k2").agg(F.collect_set("at").alias("gone"))
     hits = scratch.keep(hits)
+    docs = docs.drop("n_lines", "n_removed")
     cols = docs.columns
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    keyed = keyed.withColumns({f"k{i}": F.xxhash64(F.lit(i), "_id", "text") for i in (1, 2)}).drop("_id")
-    rows = keyed.join(hits, ["k1", "k2"], "left")
+    hits = hits.select(*[F.col(c).alias(f"_qs_{c}") for c in ("k1", "k2", "gone")])
+    keyed = docs.withColumn("_qs_id", F.col("doc_id").cast("long"))
+    keyed = keyed.withColumns({f"_qs_k{i}": F.xxhash64(F.lit(i), "_qs_id", "text") for i in (1, 2)}).drop("_qs_id")
+    rows = keyed.join(hits, ["_qs_k1", "_qs_k2"], "left")
     split = F.split("text", "\n", -1)
-    rest = F.when(F.col("gone").isNotNull(), F.filter(split, lambda x, i: ~F.array_contains(F.col("gone"), i)))
+    rest = F.when(F.col("_qs_gone").isNotNull(), F.filter(split, lambda x, i: ~F.array_contains(F.col("_qs_gone"), i)))
     size = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
-    rows = rows.withColumn("_rest", rest)
+    rows = rows.withColumn("_qs_rest", rest)
     whole = size(split)
-    rows = rows.withColumn("_cut", F.coalesce(size("_rest") >= whole - F.floor(whole * F.lit(MOST)), F.lit(False)))
-    text = F.when(F.col("_cut"), F.array_join("_rest", "\n")).otherwise(F.col("text"))
+    rows = rows.withColumn("_qs_cut", F.coalesce(size("_qs_rest") >= whole - F.floor(whole * F.lit(MOST)), F.lit(False)))
+    text = F.when(F.col("_qs_cut"), F.array_join("_qs_rest", "\n")).otherwise(F.col("text"))
     n_lines = F.coalesce(F.when(F.col("text").isNotNull(), F.size(split)), F.lit(0)).cast("long")
-    removed = F.when(F.col("_cut"), F.size("gone")).otherwise(0).cast("long")
-    new = {"text": text} | ({"n_chars": F.when(F.col("_cut"), F.length(text).cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in cols else {})
+    removed = F.when(F.col("_qs_cut"), F.size("_qs_gone")).otherwise(0).cast("long")
+    new = {"text": text} | ({"n_chars": F.when(F.col("_qs_cut"), F.length(text).cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in cols else {})
     return rows.select(*[new[c].alias(c) if c in new else c for c in cols], n_lines.alias("n_lines"), removed.alias("n_removed"))

@@ -29,7 +29,7 @@ def odd(spark):
     long = text(r, 9000)
     rows = [(1, "plain words here. " + text(r, 40)), (2, None), (3, ""), (4, long), (5, long + " more"), (6, "plain words here"), (6, "plain words here"), (None, "no id at all"), (None, None), (7, "  \n\n "), (8, "😀é ñ"), (9, "123 456")]
     rows = [(*x, "en" if x[1] else None, None if x[0] == 4 else "s1", 7, 7, "k", "q") for x in rows]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size int, key string, keys string").withColumns({c: F.lit(1) for c in ("shard", "score", "component_id", "_t", "record", "x", "id")})
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size int, key string, keys string").withColumns({c: F.lit(1) for c in ("shard", "score", "component_id", "_t", "record", "x", "id", "k1", "gone", "_p", "n_lines", "margin", "site", "h1", "nth", "bin", "row")})
 
 
 @pytest.fixture(scope="module")
@@ -284,7 +284,8 @@ def test_lines_by_distinct_sites(spark, odd, none):
     assert got[101].text is None and got[101].n_lines == 0 and got[102].n_lines == 1
     kept = {r.doc_id: r for r in linededup.remove_boilerplate(docs, sites=13).collect()}
     assert kept[3].n_removed == 0
-    assert linededup.remove_boilerplate(odd).count() == odd.count()
+    same = linededup.remove_boilerplate(odd)
+    assert same.count() == odd.count() and same.where("k1 = 1 and gone = 1 and h1 = 1").count() == odd.count()
     assert linededup.remove_boilerplate(none).count() == 0
 
 

@@ -64,6 +64,7 @@ def _streams(batches, path, length, end_id, width):
     from .bpe import encoder
 
     enc, last = encoder(path), np.array([end_id], "<u4")
+    enc.sizes.clear()  # the first pass is over
     kind = "<u2" if width == 2 else "<u4"
     held = np.empty(0, "<u4")
     owners: list[tuple[int, int, int]] = []  # (place in held, doc_id, place in the document)
@@ -106,7 +107,7 @@ def count(docs: DataFrame, path: str, length: int, end_id: int = 2) -> DataFrame
 
         enc, n = encoder(path), 0
         for batch in batches:
-            n += sum(enc.count(t or "") + 1 for t in batch.column("text").to_pylist())
+            n += sum(enc.count(t.as_py() or "") + 1 for t in batch.column("text"))
         if n:
             cols = [[TaskContext.get().partitionId()], [-(-n // length)], [n]]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["split", "sequences", "tokens"])

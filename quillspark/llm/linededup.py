@@ -15,7 +15,7 @@ from . import common as C
 
 SITES = 10  # sites from which on a line is boilerplate
 LEAST = 15  # characters of the shortest line that may go
-MOST = 0.5  # a text that would lose a larger share of its characters is a copy; it stays whole
+MOST = 0.5  # only OP7_SQL reads it: the operator has no such limit
 PRECISION = 12  # sketches of 2^12 registers: a standard error of 1.6 %
 
 
@@ -45,9 +45,8 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", sites: int = SITES
     of text, and n_lines, n_removed; n_chars, if there, follows the text.
 
     A line of at least 15 characters that stands on 10 or more distinct sites goes from every
-    text, unless more than half of a text's characters (line ends aside) would go: such a text
-    is a copy of a document, not a page with boilerplate, and is kept whole. Rows are kept, even
-    if nothing of a text is left but short lines. A null text stays null, with 0 lines; an empty
+    text, whatever share of it that is, unless the text has no line of its own (nothing but
+    blank lines would be left): such a text is a copy and is kept whole. Rows are kept. A null text stays null, with 0 lines; an empty
     text is one empty line. Columns of the names n_lines and n_removed are replaced. A null site counts for no line. Repeated rows are treated alike.
     """
     scratch = C.Scratch(docs.sparkSession)
@@ -63,10 +62,9 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", sites: int = SITES
     rows = keyed.join(hits, ["_qs_k1", "_qs_k2"], "left")
     split = F.split("text", "\n", -1)
     rest = F.when(F.col("_qs_gone").isNotNull(), F.filter(split, lambda x, i: ~F.array_contains(F.col("_qs_gone"), i)))
-    size = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
     rows = rows.withColumn("_qs_rest", rest)
-    whole = size(split)
-    rows = rows.withColumn("_qs_cut", F.coalesce(size("_qs_rest") >= whole - F.floor(whole * F.lit(MOST)), F.lit(False)))
+    own = F.exists("_qs_rest", lambda x: x.rlike(r"\S"))
+    rows = rows.withColumn("_qs_cut", F.coalesce(own, F.lit(False)))
     text = F.when(F.col("_qs_cut"), F.array_join("_qs_rest", "\n")).otherwise(F.col("text"))
     n_lines = F.coalesce(F.when(F.col("text").isNotNull(), F.size(split)), F.lit(0)).cast("long")
     removed = F.when(F.col("_qs_cut"), F.size("_qs_gone")).otherwise(0).cast("long")

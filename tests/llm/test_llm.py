@@ -289,6 +289,14 @@ def test_lines_by_distinct_sites(spark, odd, none):
     assert linededup.remove_boilerplate(none).count() == 0
 
 
+def test_lines_go_from_short_pages_and_not_from_copies(spark):
+    head, licence = "a long header that all of the sites share", "a long licence that all of the sites share"
+    rows = [(i, f"{head}\nown {i}\n{licence}", f"s{i}") for i in range(12)] + [(100 + i, f"{head}\n\n \n{licence}", f"s{i}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for r in linededup.remove_boilerplate(docs).collect():
+        assert (r.text, r.n_removed) == ((f"own {r.doc_id}", 2) if r.doc_id < 100 else (f"{head}\n\n \n{licence}", 0))
+
+
 # ---------------------------------------------------------------- 8
 
 ASSIGN = re.compile(r"(?a:(?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")

@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SITES = 10  # sites from which on a line is boilerplate
-LEAST = 15  # characters of the shortest line that may go
-MOST = 0.5  # only OP7_SQL reads it: the operator has no such limit
+LEAST, MOST = 15, 0.5  # only OP7_SQL and a test read them: the operator has no such limits
 PRECISION = 12  # sketches of 2^12 registers: a standard error of 1.6 %
 
 
@@ -23,7 +22,7 @@ def _lines(docs: DataFrame, site: str) -> DataFrame:
     key = [F.xxhash64(F.lit(i), "doc_id", "text").alias(f"k{i}") for i in (1, 2)]
     rows = docs.where("text is not null").select(*key, F.col(site).alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
     line = [F.xxhash64(F.lit(i), "line").alias(f"h{i}") for i in (1, 2)]
-    return rows.where(F.length("line") >= LEAST).select("k1", "k2", "site", "at", *line)
+    return rows.where("line <> ''").select("k1", "k2", "site", "at", *line)
 
 
 def boilerplate(lines: DataFrame, scratch: C.Scratch, sites: int = SITES) -> DataFrame:
@@ -44,9 +43,10 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", sites: int = SITES
     """All columns of docs (doc_id, text, and the site column) with boilerplate lines taken out
     of text, and n_lines, n_removed; n_chars, if there, follows the text.
 
-    A line of at least 15 characters that stands on 10 or more distinct sites goes from every
-    text, whatever share of it that is, unless the text has no line of its own (nothing but
-    blank lines would be left): such a text is a copy and is kept whole. Rows are kept. A null text stays null, with 0 lines; an empty
+    A line that isn't empty and stands on 10 or more distinct sites goes from every text,
+    whatever share of it that is, unless the text has no line of its own (nothing but blank
+    lines would be left): such a text is a copy and is kept whole. Rows are kept. A null text
+    stays null, with 0 lines; an empty
     text is one empty line. Columns of the names n_lines and n_removed are replaced. A null site counts for no line. Repeated rows are treated alike.
     """
     scratch = C.Scratch(docs.sparkSession)

@@ -297,6 +297,12 @@ def test_lines_go_from_short_pages_and_not_from_copies(spark):
         assert (r.text, r.n_removed) == ((f"own {r.doc_id}", 2) if r.doc_id < 100 else (f"{head}\n\n \n{licence}", 0))
 
 
+def test_short_lines_go_by_their_sites_too(spark):
+    docs = spark.createDataFrame([(i, f"Menu\n\nown text {i}\nx{i % 9}", f"s{i}") for i in range(12)], "doc_id long, text string, source string")
+    for r in linededup.remove_boilerplate(docs).collect():
+        assert (r.text, r.n_removed) == (f"\nown text {r.doc_id}\nx{r.doc_id % 9}", 1)
+
+
 # ---------------------------------------------------------------- 8
 
 ASSIGN = re.compile(r"(?a:(?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")

@@ -196,6 +196,25 @@ def test_languages_odd_rows(odd, none):
     assert langid.fit(none) == {}
 
 
+def test_narrow_margins_are_rejected(spark, sf_dir):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet").where("n_chars > 100")
+    rows = [(r.lang, r.text) for r in docs.where("doc_id % 4 = 0").collect()]
+    learned = langid.fit(docs.where("doc_id % 4 > 0"))
+    r = random.Random(5)
+    noise = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(len(t))) for _, t in rows]
+
+    def passing(model, texts):
+        model = langid.Model(model)
+        return sum(p[0] != "und" and p[2] > P.LEAST_MARGIN for p in map(model.predict, texts)) / len(texts)
+
+    assert passing(learned, [t for _, t in rows]) >= 0.98
+    assert passing(learned, noise) <= 0.05
+    for lang in learned:
+        assert passing({k: v for k, v in learned.items() if k != lang}, [t for x, t in rows if x == lang]) <= 0.3
+
+
 # ---------------------------------------------------------------- 5 and the tokenizer
 
 

@@ -639,7 +639,7 @@ def embed_lookup(spark, sf_dir):
     model = _wordpiece(spark, sf_dir)
     t = subword.tokenizer(model, rows)
     ids = rows.select("id", F.pmod(F.col("conv_id"), F.lit(16)).alias("g"), t("text").alias("t")).select("id", "g", F.col("t.ids").alias("ids"))
-    encoded = vectors.encode_batches(ids, vectors.BERT, model.vocab, vectors.EncodingOptions(max_length=128), "id", "g")
+    encoded = vectors.encode_batches(ids, vectors.BERT, model.vocab, vectors.EncodingOptions(), "id", "g")
     size = max(model.vocab.values()) + 1
     lookup = [[((i * 31 + j * 17) % 101) / 101 - 0.5 for j in range(8)] for i in range(size)]
     out = vectors.embed(encoded, vectors.lookup_encoder(lookup))

@@ -247,3 +247,16 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
     left = sorted((tuple(map(plain, r)) for r in got.select(cols).collect()), key=repr)
     right = sorted((tuple(map(plain, r)) for r in want.project(", ".join(f'"{c}"' for c in cols)).fetchall()), key=repr)
     assert left == right
+
+
+def test_embeddings_pool_whole_texts(spark, sf_dir):
+    import numpy as np
+
+    from quillspark.plans import queries as Q
+
+    got = {r.id: r.embedding for r in Q.embed_lookup(spark, sf_dir).collect()}
+    ids = {f"{r.conv_id}:{r.turn}": r.ids for r in Q.wordpiece(spark, sf_dir).collect() if r.ids is not None}
+    longest = max(ids, key=lambda k: len(ids[k]))
+    assert len(ids[longest]) > 126
+    v = np.mean([[((i * 31 + j * 17) % 101) / 101 - 0.5 for j in range(8)] for i in [2, *ids[longest], 3]], axis=0)
+    assert np.allclose(got[longest], v / np.linalg.norm(v), atol=1e-4)

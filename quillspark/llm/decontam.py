@@ -81,7 +81,7 @@ class Passages:
     """The seeds of a block of benchmark passages."""
 
     def __init__(self, rows: list[tuple[int, str]], match: int):
-        self.ids, self.words, self.match = [], [], match
+        self.ids, self.words, self.grams, self.match = [], [], [], match
         seeds, owner = [], []
         for item_id, text in rows:
             buf = np.frombuffer((text or "").encode(), np.uint8)
@@ -92,6 +92,7 @@ class Passages:
             owner.append(np.full(len(seeds[-1]), len(self.ids)))
             self.ids.append(item_id)
             self.words.append(words)
+            self.grams.append(seeds[-1])
         h = np.concatenate([np.empty(0, np.uint64), *seeds])
         o = np.concatenate([np.empty(0, np.int64), *owner])
         order = np.argsort(h, kind="stable")
@@ -121,8 +122,9 @@ class Passages:
                     near.append(None)
                 near.append(int(words[p]))
                 last = p
-            if len(set(near)) - (None in near) < coverage * len(set(item.tolist())) / 2:
-                continue  # too few different words to reach the coverage
+            shared = np.flatnonzero(np.isin(self.grams[o], h[starts]))[:, None] + np.arange(self.match)
+            if len(np.unique(shared)) < coverage * len(item):
+                continue  # all words of a tile are in shared seeds
             tiles = tile(item.tolist(), near, self.match)
             covered = sum(n for _, _, n in tiles)
             if covered >= coverage * len(item):

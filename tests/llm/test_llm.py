@@ -133,6 +133,14 @@ def test_tiles_cover_as_by_definition():
         assert sum(n for _, _, n in decontam.tile(item, words, 3, r.choice([3, 5, 20]))) == greedy(item, words, 3)
 
 
+def test_repetitive_passages_are_tiled():
+    phrase = [f"p{i}" for i in range(5)]
+    item = phrase * 10 + [f"w{i}" for i in range(50)]
+    passages = decontam.Passages([(1, " ".join(item))], 5)
+    words = decontam.Passages([(1, " ".join(["before"] + phrase * 10 + ["after"]))], 5).words[0]
+    assert list(passages.leaks(words, 0.5)) == [(1, 1, 50, 100)]
+
+
 def test_leaks(spark, odd, none):
     r = random.Random(5)
     passage, clean = text(r, 40), text(r, 300)

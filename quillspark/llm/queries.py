@@ -46,9 +46,8 @@ def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the shards to the shared folder and returns what their records hold."""
     out = C.Scratch(spark).path()
     if not tokenbin.write_shards(C.table(spark, sf_dir, "documents"), out, tokenizer_path()):
-        return spark.createDataFrame([], "slot long, shard int, doc_id long, start long, used long, ids_crc32 long")
-    rows = tokenbin.read_shards(spark, out)
-    return rows.select("slot", "shard", "doc_id", "start", "used", F.crc32("ids").alias("ids_crc32"))
+        return spark.createDataFrame([], "slot long, shard int, place long, doc_id long, start long, used long, ids_crc32 long")
+    return tokenbin.read_shards(spark, out).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,19 @@
 """Training-order materialisation of token sequences as fixed-stride binary shards.
 
 The token stream (each document's ids, then the end id) is cut into sequences of `length`
-ids; a stream runs through one input split, whose last sequence is padded. A first pass counts
-the sequences of each split; the second gives sequence n, through a keyed Feistel permutation
-with cycle-walking, its slot in the training order, and slots are dealt by ranges to shards.
-A shard is a file of records in slot order, each `stride(length)` bytes, so a reader finds
-slot s at record s % per_shard of shard s // per_shard, in order or after a restart.
-
-Record: doc_id of the first token (int64), ids in use (uint32), first token's place in its
-document (uint32), `length` ids (uint16; uint32 for vocabularies over 65,536), end mark "SEQ\\n".
+ids; a stream runs through one input split, whose last sequence is padded. A split can't have
+more sequences than its bytes and rows allow (a byte-level id holds a byte at least), so a pass
+over the lengths gives every split its own range of sequence numbers, and texts are tokenised
+once. A keyed Feistel permutation with cycle-walking takes each sequence number to a place of
+its own among all numbers. Ranges of places are the shards: the rows of a range are dealt to one
+partition by its number, sorted by place and written as one file of records, each
+`stride(length)` bytes. Numbers that no sequence has leave no hole: a sequence's slot is its
+rank by place, which is its record's position after the records of the shards before. The
+manifest, a row a shard, has those offsets, so a reader goes to any slot at once, in order or
+after a restart.
+
+Record: doc_id of the first token, place (int64), ids in use, first token's place in its
+document (uint32), `length` ids (uint16; uint32 for vocabularies over 65,536), end mark "SEQ\n".
 All numbers are little-endian. Files are written by Spark's text writer, so a task that is lost
 or runs twice leaves one committed copy.
 """
@@ -21,11 +26,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common as C
+from .common import mix64
 
-HEAD = np.dtype([("doc_id", "<i8"), ("used", "<u4"), ("start", "<u4")])
+HEAD = np.dtype([("doc_id", "<i8"), ("place", "<i8"), ("used", "<u4"), ("start", "<u4")])
 MARK = b"SEQ\n"
 ROUNDS = 6
+SHARD_BYTES = 32 << 20  # of text to a shard, about
 
 
 def stride(length: int, width: int = 2) -> int:
@@ -47,9 +53,9 @@ class Permutation:
         left, right = x >> h, x & low
         for k in self.keys[::-1] if inverse else self.keys:
             if inverse:
-                left, right = right ^ (C.mix64(left ^ k) & low), left
+                left, right = right ^ (mix64(left ^ k) & low), left
             else:
-                left, right = right, left ^ (C.mix64(right ^ k) & low)
+                left, right = right, left ^ (mix64(right ^ k) & low)
         return (left << h) | right
 
     def __call__(self, x, inverse: bool = False) -> np.ndarray:
@@ -59,21 +65,13 @@ class Permutation:
         return y.astype(np.int64)
 
 
-def _streams(batches, path, length, end_id, width):
-    """Records of one split's stream as (n, record bytes without the mark)."""
+def _streams(batches, path, length, end_id):
+    """Sequences of one split's stream as (doc_id of the first token, its place there, ids)."""
     from .bpe import encoder
 
     enc, last = encoder(path), np.array([end_id], "<u4")
-    enc.sizes.clear()  # the first pass is over
-    kind = "<u2" if width == 2 else "<u4"
     held = np.empty(0, "<u4")
     owners: list[tuple[int, int, int]] = []  # (place in held, doc_id, place in the document)
-
-    def record(ids, doc_id, start):
-        head = np.array([(doc_id, len(ids), start)], HEAD).tobytes()
-        return head + np.pad(ids.astype(kind), (0, length - len(ids))).tobytes()
-
-    n = 0
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
             ids = np.concatenate([np.frombuffer(enc.ids(text.as_py() or ""), "<u4"), last])
@@ -84,8 +82,7 @@ def _streams(batches, path, length, end_id, width):
                 while len(owners) > 1 and owners[1][0] <= at:
                     owners.pop(0)
                 p, d, s = owners[0]
-                yield n, record(held[at : at + length], d, s + at - p)
-                n += 1
+                yield d, s + at - p, held[at : at + length]
                 at += length
             held = held[at:]
             while len(owners) > 1 and owners[1][0] <= at:
@@ -93,86 +90,97 @@ def _streams(batches, path, length, end_id, width):
             owners = [(p - at, d, s) for p, d, s in owners]
     if len(held):
         p, d, s = owners[0]
-        yield n, record(held, d, s - p)
+        yield d, s - p, held
 
 
-def count(docs: DataFrame, path: str, length: int, end_id: int = 2) -> DataFrame:
-    """(split, sequences, tokens) of each input split."""
+def room(docs: DataFrame, length: int) -> tuple[dict[int, tuple[int, int]], int]:
+    """({split: (its first sequence number, how many it may have)}, all of them); a row a split."""
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("ids")
+    found, base = {}, 0
+    for r in docs.groupBy(F.spark_partition_id().alias("split")).agg(size).orderBy("split").collect():
+        n = -(-r.ids // length)
+        found[r.split] = (base, n)
+        base += n
+    return found, base
 
-    def make(batches):
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        from .bpe import encoder
-
-        enc, n = encoder(path), 0
-        for batch in batches:
-            n += sum(enc.count(t.as_py() or "") + 1 for t in batch.column("text"))
-        if n:
-            cols = [[TaskContext.get().partitionId()], [-(-n // length)], [n]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["split", "sequences", "tokens"])
 
-    return docs.select("text").mapInArrow(make, "split long, sequences long, tokens long")
-
-
-def write_shards(docs: DataFrame, out: str, path: str, length: int = 1024, per_shard: int = 4096, key: str = "epoch-0", end_id: int = 2, width: int = 2) -> int:
+def write_shards(docs: DataFrame, out: str, path: str, length: int = 1024, key: str = "epoch-0", end_id: int = 2, width: int = 2, shard_bytes: int = SHARD_BYTES) -> int:
     """Writes the shards of docs (doc_id, text; other columns are ignored) under `out`, as
-    out/shard=K/*.txt, and returns the number of sequences.
+    out/shards/shard=K/*.txt with out/manifest, and returns the number of sequences.
 
-    docs must be a stored table: both passes must see the same splits, and the second fails if
-    a split's count differs. A null or empty text is the end id alone; a null doc_id is
-    written as -1; repeated rows are written as often as they occur. Without rows nothing is
+    docs must be a stored table, whose splits are the same in both passes; a split that has more
+    sequences than its bytes allow fails. A null or empty text is the end id alone; a null doc_id
+    is written as -1; repeated rows are written as often as they occur. Without rows nothing is
     written.
     """
     spark = docs.sparkSession
-    sizes = {r.split: r.sequences for r in count(docs, path, length, end_id).collect()}  # a row a split
-    bases, total = {}, 0
-    for split in sorted(sizes):
-        bases[split] = total
-        total += sizes[split]
-    if not total:
+    splits, domain = room(docs, length)
+    if not domain:
         return 0
-    held = spark.sparkContext.broadcast((bases, sizes))
+    per_shard = max(1, shard_bytes // length)  # sequence numbers to a shard
+    shards = -(-domain // per_shard)
+    held = spark.sparkContext.broadcast(splits)
+    kind = "<u2" if width == 2 else "<u4"
 
     def make(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        bases, sizes = held.value
-        split, perm = TaskContext.get().partitionId(), Permutation(total, key)
-        ns, records, seen = [], [], 0
-        schema = ["slot", "record"]
+        base, most = held.value.get(TaskContext.get().partitionId(), (0, 0))
+        perm, group, n = Permutation(domain, key), [], 0
 
         def flush():
-            slots = perm(np.array(ns, np.int64) + bases[split])
-            return pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(records, pa.binary())], names=schema)
-
-        for n, r in _streams(batches, path, length, end_id, width):
-            ns.append(n)
-            records.append(r)
-            seen += 1
-            if len(ns) == 2048:
+            places = perm(np.arange(base + n - len(group), base + n))
+            raw = np.zeros(len(group), [("head", HEAD), ("ids", kind, (length,))])
+            for r, place, (doc_id, start, ids) in zip(raw, places.tolist(), group, strict=True):
+                r["head"] = (doc_id, place, len(ids), start)
+                r["ids"][: len(ids)] = ids
+            data, size = pa.py_buffer(raw.tobytes()), raw.dtype.itemsize
+            records = pa.Array.from_buffers(pa.binary(), len(group), [None, pa.py_buffer(np.arange(0, (len(group) + 1) * size, size, "<i4").tobytes()), data])
+            return pa.RecordBatch.from_arrays([pa.array(places // per_shard, pa.int32()), pa.array(places, pa.int64()), records], names=["shard", "place", "record"])
+
+        for sequence in _streams(batches, path, length, end_id):
+            group.append(sequence)
+            n += 1
+            if n > most:
+                raise RuntimeError(f"a split has over {most} sequences: its rows changed, or ids hold less than a byte")
+            if len(group) == 1024:
                 yield flush()
-                ns, records = [], []
-        if ns:
+                group.clear()
+        if group:
             yield flush()
-        if seen != sizes.get(split, 0):
-            raise RuntimeError(f"split {split} had {sizes.get(split, 0)} sequences at first, then {seen}")
 
-    shards = -(-total // per_shard)
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, "slot long, record binary")
-    rows = rows.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
-    # no range exchange: it would sample, and run the tokenizer once more
-    rows = rows.repartition(min(shards, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))), "shard")
-    rows = rows.sortWithinPartitions("shard", "slot").select(F.col("record").cast("string"), "shard")
-    rows.write.partitionBy("shard").option("lineSep", MARK.decode()).mode("overwrite").text(out)
-    return total
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, "shard int, place long, record binary")
+    rows = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "place").select(F.col("record").cast("string"), "shard")
+    rows.write.partitionBy("shard").option("lineSep", MARK.decode()).option("maxRecordsPerFile", 0).mode("overwrite").text(f"{out}/shards")
+    size, files = stride(length, width), _files(spark, out).select("shard", "length").collect()  # a row a shard
+    offset, manifest = 0, []
+    for shard, n in sorted((r.shard, r.length) for r in files):
+        if n % size or manifest and manifest[-1][0] == shard:
+            raise RuntimeError(f"shard {shard} isn't one file of whole records")
+        manifest.append((shard, offset, n // size, length, width, domain, key))
+        offset += n // size
+    names = "shard int, first_slot long, records long, length int, width int, domain long, key string"
+    spark.createDataFrame(manifest, names).coalesce(1).write.mode("overwrite").parquet(f"{out}/manifest")
+    return offset
+
 
+def _files(spark: SparkSession, out: str) -> DataFrame:
+    schema = "path string, modificationTime timestamp, length long, content binary, shard int"
+    return spark.read.format("binaryFile").schema(schema).load(f"{out}/shards")
 
-def read_shards(spark: SparkSession, out: str, length: int = 1024, per_shard: int = 4096, width: int = 2, first_slot: int = 0) -> DataFrame:
-    """slot, shard, doc_id, start, used, ids (bytes of the ids in use) of the records from
-    first_slot on; shards before it aren't opened."""
-    size = stride(length, width)
+
+FOUND = "slot long, shard int, place long, doc_id long, start long, used long, ids binary"
+
+
+def read_shards(spark: SparkSession, out: str, first_slot: int = 0) -> DataFrame:
+    """slot, shard, place, doc_id, start, used, ids (bytes of the ids in use) of the records from
+    first_slot on, by the manifest; shards before it aren't opened."""
+    manifest = spark.read.parquet(f"{out}/manifest").where(F.col("first_slot") + F.col("records") > first_slot).collect()
+    if not manifest:
+        return spark.createDataFrame([], FOUND)
+    length, width = manifest[0].length, manifest[0].width
+    size, first = stride(length, width), {r.shard: r.first_slot for r in manifest}  # a number a shard
 
     def parse(batches):
         import pyarrow as pa
@@ -186,12 +194,11 @@ def read_shards(spark: SparkSession, out: str, length: int = 1024, per_shard: in
                 if raw[:, -len(MARK) :].tobytes() != MARK * len(raw):
                     raise ValueError(f"shard {shard}: a record has no end mark")
                 head = np.frombuffer(raw[:, : HEAD.itemsize].tobytes(), HEAD)
+                if (np.diff(head["place"]) <= 0).any():
+                    raise ValueError(f"shard {shard}: records are out of order")
                 ids = [r[HEAD.itemsize : HEAD.itemsize + width * int(u)].tobytes() for r, u in zip(raw, head["used"], strict=True)]
-                slots = shard * per_shard + np.arange(len(raw))
-                cols = [pa.array(slots, pa.int64()), pa.array(np.full(len(raw), shard), pa.int32()), pa.array(head["doc_id"], pa.int64()), pa.array(head["start"].astype(np.int64)), pa.array(head["used"].astype(np.int64)), pa.array(ids, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["slot", "shard", "doc_id", "start", "used", "ids"])
-
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary, shard int").load(out)
-    files = files.where(F.col("shard") >= first_slot // per_shard)
-    rows = files.select("shard", "content").mapInArrow(parse, "slot long, shard int, doc_id long, start long, used long, ids binary")
-    return rows.where(F.col("slot") >= first_slot)
+                cols = [first[shard] + np.arange(len(raw)), np.full(len(raw), shard, np.int32), *(head[c].astype(np.int64) for c in ("place", "doc_id", "start", "used"))]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(ids, pa.binary())], names=["slot", "shard", "place", "doc_id", "start", "used", "ids"])
+
+    files = _files(spark, out).where(F.col("shard") >= min(first))
+    return files.select("shard", "content").mapInArrow(parse, FOUND).where(F.col("slot") >= first_slot)

@@ -27,7 +27,7 @@ def odd(spark):
     """Nulls, empty and long texts, repeats, ties, and columns whose names clash with inner ones."""
     r = random.Random(4)
     long = text(r, 9000)
-    rows = [(1, "plain words here. " + text(r, 40)), (2, None), (3, ""), (4, long), (5, long + " more"), (6, "plain words here"), (6, "plain words here"), (None, "no id at all"), (None, None), (7, "  \n\n "), (8, "😀é ñ"), (9, "123 456")]
+    rows = [(1, "plain words here. " + text(r, 40)), (2, None), (3, ""), (4, long), (5, long + " more"), (6, "plain words here"), (6, "plain words here"), (None, "no id at all"), (None, None), (7, "  \n\n "), (8, "😀é ñ"), (9, "123 456"), (10, "Prix :\xa05\xa0 \xa0 \xa0"), (11, "k" * 30_000)]
     rows = [(*x, "en" if x[1] else None, None if x[0] == 4 else "s1", 7, 7, "k", "q") for x in rows]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size int, key string, keys string").withColumns({c: F.lit(1) for c in ("shard", "score", "component_id", "_t", "record", "x", "id", "k1", "gone", "_p", "n_lines", "margin", "site", "h1", "nth", "bin", "row")})
 
@@ -229,11 +229,26 @@ def test_narrow_margins_are_rejected(spark, sf_dir):
 def test_ids_equal_the_tokenizers(corpus):
     enc = bpe.Encoder(PATH)
     assert enc.ranked is not None
-    odd = ["a  b", "\n x y", " lead", "trail ", "don't we'll", "a<|endoftext|> b", "x\n\ny z\t w", "  ", "", "日本 語", "a b c", "1 22 $$ %%", "a\n b", "é" * 3000, "a\x1cb c", "a\xa0b c", "a\tb c", "a\t\tb c", "é\u3000 x"]
+
+    def same(t):
+        assert np.frombuffer(enc.ids(t), "<u4").tolist() == enc.whole.encode(t, add_special_tokens=False).ids, repr(t)
+
+    odd = ["a  b", "\n x y", " lead", "trail ", "don't we'll", "a<|endoftext|> b", "x\n\ny z\t w", "  ", "", "1 22 $$ %%", "é" * 3000, "a\x1cb c", "a\xa0b\xa0c \xa0 \xa0", "Prix :\xa05\xa0€ \xa0 \xa0", "日本 語", "“so” — he’s", "　x ก"]
     for t in [*odd, *list(corpus[1].values())[:120]]:
-        for _ in range(2):
-            assert enc.count(t) == len(enc.ids(t)) // 4
-            assert np.frombuffer(enc.ids(t), "<u4").tolist() == enc.whole.encode(t, add_special_tokens=False).ids
+        same(t)
+    r = random.Random(12)
+    alphabets = ["ab \n\t\r\x0b\x0c\x1c\x1f\x85\xa0 　'", "aà1\xb2½ª!?\xad\xa0 \n", " \xa0\x85\n\ta1.", "'sS'tlLveRE d", "aaaabc  ", "".join(map(chr, range(1, 0x250)))]
+    for i in range(20_000):
+        same("".join(r.choices(alphabets[i % len(alphabets)], k=r.randint(1, 25))))
+
+
+def test_ids_that_listed_merges_do_not_give_go_through_the_tokenizer():
+    enc = bpe.Encoder(PATH)
+    word = next(i for i, s in enc.strings.items() if len(s) > 6 and s[:1].isalpha())
+    enc.left[word] += 1  # as if the list joined it from other parts
+    assert not enc.prove(word) and enc.prove(word + 1)
+    text = enc.strings[word].decode()
+    assert np.frombuffer(enc.ids(text), "<u4").tolist() == enc.whole.encode(text, add_special_tokens=False).ids and not enc.proved[word]
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 1000])
@@ -244,27 +259,44 @@ def test_permutation_is_a_bijection(n):
     assert n < 10 or (tokenbin.Permutation(n, "other")(np.arange(n)) != y).any()
 
 
+def check_shards_of(spark, docs, out, n, length, **kw):
+    """Every record against plain streams of the splits: content, place, slot and order."""
+    enc = bpe.encoder(PATH)
+    splits, domain = tokenbin.room(docs, length)
+    by = {}
+    for r in docs.withColumn("split", F.spark_partition_id()).select("split", "doc_id", "text").collect():
+        by.setdefault(r.split, []).append((r.doc_id, np.frombuffer(enc.ids(r.text or "") + b"\2\0\0\0", "<u4").tolist()))
+    want = []
+    for split, rows in by.items():
+        stream = [(-1 if d is None else d, i, x) for d, ids in rows for i, x in enumerate(ids)]
+        for m, at in enumerate(range(0, len(stream), length)):
+            part = stream[at : at + length]
+            place = int(tokenbin.Permutation(domain, kw.get("key", "epoch-0"))([splits[split][0] + m])[0])
+            want.append((place, part[0][0], part[0][1], [x for _, _, x in part]))
+    got = sorted(tokenbin.read_shards(spark, out).collect())
+    assert [(r.place, r.doc_id, r.start, np.frombuffer(r.ids, "<u2").tolist()) for r in got] == sorted(want)
+    assert [r.slot for r in got] == list(range(n)) and all(r.used == len(r.ids) // 2 for r in got)
+    return got
+
+
 def test_shards_round_trip(spark, corpus, tmp_path):
-    docs, texts = corpus
+    docs = corpus[0].repartition(3)
+    docs = C.Scratch(spark).keep(docs)
     out = f"file://{tmp_path}/s"
-    n = tokenbin.write_shards(docs, out, PATH, length=128, per_shard=100)
-    rows = tokenbin.read_shards(spark, out, 128, 100).collect()
-    assert sorted(r.slot for r in rows) == list(range(n))
-    enc = bpe.encoder(PATH)
-    ids = {d: np.frombuffer(enc.ids(t) + b"\2\0\0\0", "<u4").tolist() for d, t in texts.items()}
-    assert sum(r.used for r in rows) == sum(map(len, ids.values()))
-    for r in rows:
-        rest = ids[r.doc_id][r.start : r.start + r.used]
-        assert np.frombuffer(r.ids, "<u2").tolist()[: len(rest)] == rest
-    later = tokenbin.read_shards(spark, out, 128, 100, first_slot=250)
+    n = tokenbin.write_shards(docs, out, PATH, length=128, shard_bytes=128 * 300, key="other")
+    rows = check_shards_of(spark, docs, out, n, 128, key="other")
+    assert len({r.shard for r in rows}) > 3
+    later = tokenbin.read_shards(spark, out, first_slot=250)
     assert sorted(r.slot for r in later.collect()) == list(range(250, n))
+    assert tokenbin.read_shards(spark, out, first_slot=n).count() == 0
 
 
 def test_shards_odd_rows(spark, odd, none, tmp_path):
     docs = C.Scratch(spark).keep(odd)
     out = f"file://{tmp_path}/s"
-    n = tokenbin.write_shards(docs, out, PATH, length=64, per_shard=8)
-    assert tokenbin.read_shards(spark, out, 64, 8).count() == n > 0
+    n = tokenbin.write_shards(docs, out, PATH, length=64, shard_bytes=2048)
+    assert n > 0
+    check_shards_of(spark, docs, out, n, 64)
     assert tokenbin.write_shards(none, f"{out}2", PATH) == 0
 
 

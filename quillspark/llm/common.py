@@ -12,12 +12,15 @@ from pyspark.sql import Window as W
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a fresh one where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a fresh
+    temporary one if driver and executors are one process, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quillspark-"))
         base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
@@ -53,6 +56,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BITMAP_BITS = 26
+
+
+def bitmap(ids: DataFrame) -> bytes:
+    """A bitmap of 2^26 bits over the upper bits of the hashes `id` (long), put together on the
+    executors: 8 MB whatever the input."""
+    bit = F.shiftrightunsigned(F.col("id"), 64 - BITMAP_BITS)
+    parts = (
+        ids.select(bit.alias("bit"))
+        .groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("part"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("bits"))
+    )
+    out = bytearray(1 << (BITMAP_BITS - 3))
+    for r in parts.toLocalIterator():
+        at = (r.part - 1) * len(r.bits)
+        out[at : at + len(r.bits)] = r.bits
+    return bytes(out)
+
+
+def bits_of(hashes: np.ndarray) -> np.ndarray:
+    """The bits of 64-bit hashes in a bitmap()."""
+    return hashes.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
+
+
 LOCAL_BITS = 33  # monotonically_increasing_id: the row's place in its partition
 
 

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SITES = 10  # sites from which on a line is boilerplate
-LEAST, MOST = 15, 0.5  # only OP7_SQL and a test read them: the operator has no such limits
 PRECISION = 12  # sketches of 2^12 registers: a standard error of 1.6 %
+BROADCAST_ROWS = 500_000  # texts with boilerplate up to which their line numbers go to the texts; beyond, both are shuffled
 
 
 def _lines(docs: DataFrame, site: str) -> DataFrame:
@@ -46,8 +46,8 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", sites: int = SITES
     A line that isn't empty and stands on 10 or more distinct sites goes from every text,
     whatever share of it that is, unless the text has no line of its own (nothing but blank
     lines would be left): such a text is a copy and is kept whole. Rows are kept. A null text
-    stays null, with 0 lines; an empty
-    text is one empty line. Columns of the names n_lines and n_removed are replaced. A null site counts for no line. Repeated rows are treated alike.
+    stays null, with 0 lines; an empty text is one empty line. Columns of the names n_lines and
+    n_removed are replaced. A null site counts for no line. Repeated rows are treated alike.
     """
     scratch = C.Scratch(docs.sparkSession)
     lines = _lines(docs.withColumn("doc_id", F.col("doc_id").cast("long")), site)
@@ -56,13 +56,21 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", sites: int = SITES
     hits = scratch.keep(hits)
     docs = docs.drop("n_lines", "n_removed")
     cols = docs.columns
+    few = hits.agg(F.count("*"), F.sum(F.size("gone"))).first()
     hits = hits.select(*[F.col(c).alias(f"_qs_{c}") for c in ("k1", "k2", "gone")])
+    if few[0] <= BROADCAST_ROWS and (few[1] or 0) <= 16 * BROADCAST_ROWS:  # 48 MB at most
+        hits = F.broadcast(hits)
     keyed = docs.withColumn("_qs_id", F.col("doc_id").cast("long"))
     keyed = keyed.withColumns({f"_qs_k{i}": F.xxhash64(F.lit(i), "_qs_id", "text") for i in (1, 2)}).drop("_qs_id")
     rows = keyed.join(hits, ["_qs_k1", "_qs_k2"], "left")
     split = F.split("text", "\n", -1)
-    rest = F.when(F.col("_qs_gone").isNotNull(), F.filter(split, lambda x, i: ~F.array_contains(F.col("_qs_gone"), i)))
-    rows = rows.withColumn("_qs_rest", rest)
+
+    def rest(lines):  # in one pass over the lines: array_except hashes
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_qs_gone"))
+        return F.transform(kept, lambda i: F.get(lines, i))
+
+    left = F.element_at(F.transform(F.array(split), rest), 1)
+    rows = rows.withColumn("_qs_rest", F.when(F.col("_qs_gone").isNotNull(), left))
     own = F.exists("_qs_rest", lambda x: x.rlike(r"\S"))
     rows = rows.withColumn("_qs_cut", F.coalesce(own, F.lit(False)))
     text = F.when(F.col("_qs_cut"), F.array_join("_qs_rest", "\n")).otherwise(F.col("text"))

@@ -4,8 +4,9 @@
    shingle set and a min-max signature: under each of `permutations` hash functions both the
    minimum and the maximum are kept, so n permutations give 2n signature values. Bands of
    `rows` values make the bucket keys.
-2. Documents with equal sets form a class; only its smallest id goes on.
-3. Every member of a bucket is paired with the bucket's smallest id (a star, linear in the
+2. Documents with equal sets form a class, which gets a number; from here on only classes
+   take part, so an id that stands on several different texts joins nothing.
+3. Every member of a bucket is paired with the bucket's smallest class (a star, linear in the
    bucket), and pairs are confirmed on full shingle sets. Components follow by alternating
    large-star and small-star steps.
 4. Buckets that still hold several components get the pairs between these: their members are
@@ -26,9 +27,10 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SKETCH_SCHEMA = "n_shingles long, f1 long, f2 long, keys array<long>, compact binary"
-BITMAP_BITS = 26
-BLOCK = 256
+SKETCH_SCHEMA = "k1 long, k2 long, n_shingles long, f1 long, f2 long, keys array<long>, compact binary"
+BLOCK = 2_048  # members of a block at most on average ...
+BLOCK_BYTES = 16 << 20  # ... and bytes of their sets
+CLASS = ["n_shingles", "f1", "f2"]
 
 
 def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
@@ -72,6 +74,17 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h
 
 
+def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, whatever its order."""
+    both = C.mix64(shingles + np.uint64(1)), C.mix64(shingles ^ np.uint64(C.BASE))
+    return tuple(int(x.sum(dtype=np.uint64).view(np.int64)) for x in both)
+
+
+def row_keys() -> list:
+    """Two hashes that stand for a row's id and text."""
+    return [F.xxhash64(F.lit(i), F.col("doc_id").cast("long"), "text").alias(f"k{i}") for i in (1, 2)]
+
+
 def sketches(docs: DataFrame, k: int, permutations: int, bands: int, rows: int) -> DataFrame:
     if bands * rows > 2 * permutations:
         raise ValueError("more band rows than signature values")
@@ -85,8 +98,8 @@ def sketches(docs: DataFrame, k: int, permutations: int, bands: int, rows: int)
             for _, words in doc_words(batch.column("text")):
                 s = shingle_set(words, k)
                 n.append(len(s))
-                f1.append(int(C.mix64(s + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)))
-                f2.append(int(C.mix64(s ^ np.uint64(C.BASE)).sum(dtype=np.uint64).view(np.int64)))
+                for f, x in zip((f1, f2), fingerprint(s), strict=True):
+                    f.append(x)
                 if len(s):
                     sig = signature(s, a, b)
                     keys.append(band_keys(sig, bands, rows).view(np.int64))
@@ -94,51 +107,34 @@ def sketches(docs: DataFrame, k: int, permutations: int, bands: int, rows: int)
                 else:
                     keys.append(None)
                     compact.append(None)
-            cols = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(compact, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "f1", "f2", "keys", "compact"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, f"doc_id long, {SKETCH_SCHEMA}")
-
+            cols = [*(batch.column(c) for c in ("doc_id", "k1", "k2")), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(compact, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "k1", "k2", "n_shingles", "f1", "f2", "keys", "compact"])
 
-def id_bitmap(ids: DataFrame) -> bytes:
-    """A bitmap of 2^26 bits over hashed ids, put together on the executors: 8 MB whatever the input."""
-    bit = F.shiftrightunsigned(F.xxhash64("id"), 64 - BITMAP_BITS)
-    parts = (
-        ids.select(bit.alias("bit"))
-        .groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("part"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("bits"))
-    )
-    out = bytearray(1 << (BITMAP_BITS - 3))
-    for r in parts.toLocalIterator():
-        at = (r.part - 1) * len(r.bits)
-        out[at : at + len(r.bits)] = r.bits
-    return bytes(out)
+    return docs.select(F.col("doc_id").cast("long"), "text", *row_keys()).mapInArrow(make, f"doc_id long, {SKETCH_SCHEMA}")
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, hashes of the full set as bytes) of the documents in ids, and perhaps of a few more."""
-    bits = docs.sparkSession.sparkContext.broadcast(id_bitmap(ids))
+def shingle_sets(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(id, hashes of the full set as bytes) of the classes (id, rep, n_shingles, f1, f2), from the
+    rows whose doc_id is a representative's and whose own set is the class's."""
+    bits = docs.sparkSession.sparkContext.broadcast(C.bitmap(classes.select(F.xxhash64("rep").alias("id"))))
 
     def make(batches):
         import pyarrow as pa
 
         have = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little")
         for batch in batches:
-            where = have[batch.column("bit").to_numpy(zero_copy_only=False)] > 0
-            batch = batch.filter(pa.array(where))
+            batch = batch.filter(pa.array(have[batch.column("bit").to_numpy(zero_copy_only=False)] > 0))
             if not batch.num_rows:
                 continue
-            sets = [shingle_set(words, k).tobytes() for _, words in doc_words(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "hashes"])
+            sets = [shingle_set(words, k) for _, words in doc_words(batch.column("text"))]
+            f = np.array([(len(s), *fingerprint(s)) for s in sets], np.int64)
+            cols = [batch.column("rep"), *(pa.array(f[:, i]) for i in range(3)), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["rep", *CLASS, "hashes"])
 
-    bit = F.shiftrightunsigned(F.xxhash64("id"), 64 - BITMAP_BITS)
-    found = (
-        docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-        .where("id is not null")
-        .withColumn("bit", bit)
-        .mapInArrow(make, "id long, hashes binary")
-    )
-    return found
+    bit = F.shiftrightunsigned(F.xxhash64("rep"), 64 - C.BITMAP_BITS)
+    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("rep is not null").withColumn("bit", bit)
+    found = rows.mapInArrow(make, "rep long, n_shingles long, f1 long, f2 long, hashes binary")
+    return found.join(classes, ["rep", *CLASS]).dropDuplicates(["id"]).select("id", "hashes")
 
 
 def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -172,7 +168,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(scratch: C.Scratch, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(id, component): the smallest id that each id in an edge reaches.
+    """(id, component): the smallest id that each other id in an edge reaches.
 
     Alternating large-star and small-star steps; every step is an aggregation with partial
     sums and a join that adaptive execution can split, so a centre with many neighbours is
@@ -195,7 +191,9 @@ def components(scratch: C.Scratch, edges: DataFrame, max_rounds: int = 60) -> Da
         scratch.drop(now)
         now = after
         if state == before:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            out = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            out._scratch_path = now._scratch_path
+            return out
         before = state
     raise RuntimeError("components did not settle")
 
@@ -203,13 +201,14 @@ def components(scratch: C.Scratch, edges: DataFrame, max_rounds: int = 60) -> Da
 def block_edges(members: DataFrame, percent: int, values: int) -> DataFrame:
     """Edges (u, v) that join different components within a bucket, confirmed on full sets.
 
-    members: key, band, id, n, component, keys, compact, hashes. Blocks of about 256 members meet
-    in (bucket, block, block) groups, of bounded size each. A pair is looked at in the first band
+    members: key, band, id, n, component, keys, compact, hashes. Blocks of at most 2,048 members and
+    16 MB of sets (or one longer set), on average, meet in (bucket, block, block) groups. A pair is looked at in the first band
     that it shares, if its sizes allow the similarity, its compact signatures agree to within
     eight standard deviations and nothing found in the group joins it yet; so a group gives
     fewer edges than it has members, however many pairs are alike.
     """
-    sizes = members.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.lit(1)).cast("int").alias("blocks"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(8 * F.col("n")) / BLOCK_BYTES), F.lit(1)).cast("int")
+    sizes = members.groupBy("key").agg(blocks.alias("blocks"))
     dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
     spread = dealt.withColumn("at", F.explode(others)).select("key", "at.i", "at.j", "block", "band", "id", "n", "component", "keys", "compact", "hashes")
@@ -243,52 +242,27 @@ def block_edges(members: DataFrame, percent: int, values: int) -> DataFrame:
     return spread.groupBy("key", "i", "j").applyInPandas(compare, "u long, v long")
 
 
-def near_duplicates(
-    docs: DataFrame, k: int = 5, percent: int = 80, permutations: int = 64, bands: int = 25, rows: int = 5
-) -> DataFrame:
-    """Components of near-duplicate documents.
-
-    docs: doc_id, text; other columns are ignored. Texts are lower-cased (A-Z only) and cut
-    into words at space and \\x09-\\x0D; a set holds the distinct windows of k words, or the
-    whole sequence if it is shorter. Two documents are linked if
-    100 * intersection >= percent * union. Returns one row per input row: doc_id,
-    n_shingles, component_id (smallest doc_id reachable, itself included), kept
-    (doc_id = component_id).
-
-    A null or empty text, or one without words, has an empty set, links with nothing and is
-    kept. Rows with the same doc_id are one document for the components: each row gets the
-    component of its own text. A null doc_id stays null, links nothing by itself and is kept.
-    Tables without rows give no rows. The chance that banding misses a pair just at the
-    threshold is (1 - t^rows)^bands: 5e-5 at 0.80, 4e-7 at 0.85.
-    """
-    spark = docs.sparkSession
-    scratch = C.Scratch(spark)
+def resolve(docs: DataFrame, scratch: C.Scratch, k: int, percent: int, permutations: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Two stored tables: a row per document (doc_id, k1, k2 and its class), and the linked classes
+    (n_shingles, f1, f2, component_id, first: whether it is the class that stands for its component)."""
     per_doc = scratch.keep(sketches(docs, k, permutations, bands, rows))
     classes = scratch.keep(
-        per_doc.where("n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"))
-    )
-    reps = (
-        per_doc.where("n_shingles > 0")
-        .join(classes, ["n_shingles", "f1", "f2"])
-        .where("doc_id = rep")
-        .dropDuplicates(["n_shingles", "f1", "f2"])  # rows that repeat; by the join's keys, so without a shuffle
-        .select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "keys", "compact")
-    )
-    reps = scratch.keep(reps)
+        per_doc.where("n_shingles > 0 and doc_id is not null").groupBy(*CLASS).agg(F.min("doc_id").alias("rep"))
+        .withColumn("id", F.monotonically_increasing_id())  # final once written
+    )
+    reps = scratch.keep(
+        per_doc.join(classes, CLASS).where("doc_id = rep").dropDuplicates(CLASS)  # by the join's keys, so without a shuffle
+        .select("id", F.col("n_shingles").alias("n"), "keys", "compact")
+    )
     entries = reps.select("id", "n", F.posexplode("keys").alias("band", "key"))
-    buckets = scratch.keep(
-        entries.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last"), F.count("*").alias("members")).where("leader <> last")
-    )
-    in_buckets = scratch.keep(entries.join(buckets, "key").select("key", "band", "id", "n", "leader", "members"))
-    sizes = reps.select(F.col("id").alias("leader"), F.col("n").alias("m"))
-    stars = (
-        in_buckets.where("id <> leader").select("id", "n", "leader").distinct().join(sizes, "leader")
-        .where(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-        .select(F.col("leader").alias("a"), F.col("id").alias("b"))
-    )
-    stars = scratch.keep(stars.distinct())
-    ids = in_buckets.select("id").distinct()
-    sets = scratch.keep(shingle_sets(docs, ids, k).join(reps.select("id"), "id", "left_semi").groupBy("id").agg(F.first("hashes").alias("hashes")))
+    least = F.min(F.struct("id", "n"))
+    buckets = entries.groupBy("key").agg(least["id"].alias("leader"), least["n"].alias("m"), F.max("id").alias("last"), F.count("*").alias("members"))
+    buckets = scratch.keep(buckets.where("leader <> last").drop("last"))
+    in_buckets = scratch.keep(entries.join(buckets, "key").select("key", "band", "id", "n", "leader", "m", "members"))
+    stars = in_buckets.where(f"id <> leader and 100 * least(n, m) >= {percent} * greatest(n, m)")
+    stars = scratch.keep(stars.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
+    wanted = classes.join(in_buckets.select("id").distinct(), "id", "left_semi")
+    sets = scratch.keep(shingle_sets(docs, wanted, k))
     edges = scratch.keep(confirm(stars, sets, percent))
     comp = components(scratch, edges)
 
@@ -305,8 +279,58 @@ def near_duplicates(
         found = scratch.keep(block_edges(full, percent, 2 * permutations))
         comp = components(scratch, edges.union(found))
 
-    linked = classes.join(comp, F.col("rep") == F.col("id"), "left").select(
-        "n_shingles", "f1", "f2", F.coalesce("component", "rep").alias("component_id")
-    )
-    out = per_doc.join(linked, ["n_shingles", "f1", "f2"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    # a component is named by its smallest doc_id; of classes that share this id one stands for it
+    linked = classes.join(comp.union(comp.select("component", "component").distinct()), "id")
+    named = linked.groupBy("component").agg(F.min(F.struct("rep", "id")).alias("first"))
+    linked = linked.join(named, "component").select(*CLASS, F.col("first.rep").alias("component_id"), (F.col("id") == F.col("first.id")).alias("first"))
+    linked = scratch.keep(linked)
+    for t in (reps, buckets, in_buckets, stars, sets, edges, members, comp):
+        scratch.drop(t)
+    return per_doc.select("doc_id", "k1", "k2", *CLASS), classes.select(*CLASS, "rep").join(linked, CLASS, "left")
+
+
+def near_duplicates(
+    docs: DataFrame, k: int = 5, percent: int = 80, permutations: int = 64, bands: int = 25, rows: int = 5
+) -> DataFrame:
+    """Components of near-duplicate documents.
+
+    docs: doc_id, text; other columns are ignored. Texts are lower-cased (A-Z only) and cut
+    into words at space and \\x09-\\x0D; a set holds the distinct windows of k words, or the
+    whole sequence if it is shorter. Two documents are linked if
+    100 * intersection >= percent * union. Returns one row per input row: doc_id,
+    n_shingles, component_id (smallest doc_id reachable, itself included), kept
+    (doc_id = component_id).
+
+    A null or empty text, or one without words, has an empty set, links with nothing and is
+    kept. Links are between texts: where rows with the same doc_id have different texts, each row
+    gets the component of its own. A null doc_id stays null, links nothing by itself and is
+    kept. Tables without rows give no rows. The chance that banding misses a pair just at the
+    threshold is (1 - t^rows)^bands: 5e-5 at 0.80, 4e-7 at 0.85.
+    """
+    per_doc, classes = resolve(docs, C.Scratch(docs.sparkSession), k, percent, permutations, bands, rows)
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "rep", "doc_id"))
+    out = per_doc.join(classes, CLASS, "left").withColumn("component_id", component)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, permutations: int = 64, bands: int = 25, rows: int = 5) -> DataFrame:
+    """docs with one row of each component of near_duplicates(), all columns kept.
+
+    Of a component the row with its smallest doc_id stays; if several have it, one of them, so of
+    rows that repeat one stays, and rows go by id and text, not by id alone. Rows without words
+    or with a null doc_id all stay.
+    """
+    scratch = C.Scratch(docs.sparkSession)
+    per_doc, classes = resolve(docs, scratch, k, percent, permutations, bands, rows)
+    least = F.coalesce("component_id", "rep")
+    found = per_doc.where("n_shingles > 0 and doc_id is not null").join(classes, CLASS)
+    stays = (F.col("doc_id") == least) & F.coalesce("first", F.lit(True))
+    found = found.groupBy("k1", "k2").agg(F.first(stays).alias("stays"), F.count("*").alias("n"))
+    found = scratch.keep(found.where("n > 1 or not stays"))
+    keyed = docs.withColumns({f"_qs_k{i}": c for i, c in enumerate(row_keys(), 1)})
+    renamed = found.select(F.col("k1").alias("_qs_k1"), F.col("k2").alias("_qs_k2"), "stays")
+    out = keyed.join(renamed.drop("stays"), ["_qs_k1", "_qs_k2"], "left_anti")
+    if found.where("stays").limit(1).count():  # rows that repeat
+        again = keyed.join(renamed.where("stays").drop("stays"), ["_qs_k1", "_qs_k2"], "left_semi")
+        out = out.unionByName(again.dropDuplicates(["_qs_k1", "_qs_k2"]))
+    return out.select(docs.columns)

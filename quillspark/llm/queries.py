@@ -101,19 +101,17 @@ with l as (
          generate_subscripts(string_split(text, chr(10)), 1) as i
   from (select row_number() over () as rowid, * from documents where text is not null)
 ), wide as (
-  select line from l where length(line) >= {linededup.LEAST} group by line having count(distinct source) >= {linededup.SITES}
+  select line from l where line <> '' group by line having count(distinct source) >= {linededup.SITES}
 ), m as (
   select l.*, wide.line is not null as gone from l left join wide on l.line = wide.line
 ), t as (
   select r, count(*) as n, count(*) filter (where gone) as k,
-         coalesce(sum(length(line)) filter (where not gone), 0) as kept, sum(length(line)) as every,
+         bool_or(not gone and regexp_matches(line, '\\S')) as own,
          coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '') as rest
   from m group by r
 )
-select d.doc_id,
-       case when t.k > 0 and t.kept >= t.every - floor(t.every * {linededup.MOST}) then t.rest else d.text end as text,
-       coalesce(t.n, 0) as n_lines,
-       case when t.k > 0 and t.kept >= t.every - floor(t.every * {linededup.MOST}) then t.k else 0 end as n_removed
+select d.doc_id, case when t.k > 0 and t.own then t.rest else d.text end as text,
+       coalesce(t.n, 0) as n_lines, case when t.k > 0 and t.own then t.k else 0 end as n_removed
 from (select row_number() over () as rowid, * from documents where text is not null
       union all by name select null as rowid, * from documents where text is null) d
 left join t on d.rowid = t.r

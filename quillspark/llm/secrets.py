@@ -30,29 +30,34 @@ ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{8,}"
 RANDOM_SAMPLE = 20_000  # tokens of either label that train() is given by samples() at most
 ORDINARY_DOCS = 2_000  # documents that ordinary tokens are taken from
 EVIDENCE = math.log(1e6)  # a token must be this much likelier random, in all ...
-PER_PAIR = 0.35  # ... and by character pair
+PER_PAIR = 0.35  # ... and by character pair,
+PER_PAIR_PLAIN = 0.7  # or this by pair without both a letter and a digit
 
 
-def _found(text: Column | str, pattern: str, kind: int) -> tuple[Column, Column]:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
-SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
+def _let(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _spans(matches: str, gaps: str, kind: int) -> Column:
-    """Spans of the matches in order; offsets in code points, the end exclusive."""
-    zero = F.struct(F.lit(0).alias("pos"), F.lit(None).cast(SPAN).alias("out"))
-    steps = F.arrays_zip(F.col(matches).alias("m"), F.slice(gaps, 1, F.size(matches)).alias("g"))
+def _running(values: Column, join, start) -> Column:
+    """Running totals of an array under an associative function, each with those before it: in
+    as many passes over the array as its length has bits, where appending one by one would
+    copy the array at every step."""
+    turns = F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int")
+    back = lambda acc, i, k: F.coalesce(F.get(acc, i - F.call_function("shiftleft", F.lit(1), k)), start)
+    steps = F.when(turns > 0, F.sequence(F.lit(0), turns - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(steps, values, lambda acc, k: F.transform(acc, lambda v, i: join(v, back(acc, i, k))))
 
-    def step(acc, x):
-        start = acc["pos"] + F.length(x["g"])
-        end = start + F.length(x["m"])
-        one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("value")))
-        return F.struct(end.alias("pos"), F.concat(F.coalesce(acc["out"], F.array().cast(SPAN)), one).alias("out"))
 
-    folded = F.aggregate(steps, zero, step, lambda a: F.coalesce(a["out"], F.array().cast(SPAN)))
-    return F.when(F.size(matches) > 0, folded).otherwise(F.array().cast(SPAN))
+def _spans(matches: str, gaps: str, kind: int) -> Column:
+    """Spans of the matches in order; offsets in code points, the end exclusive."""
+    lengths = F.zip_with(matches, F.slice(gaps, 1, F.size(matches)), lambda m, g: F.length(m) + F.length(g))
+    ends = _running(lengths, lambda x, y: x + y, F.lit(0))
+    one = lambda m, end: F.struct((end - F.length(m)).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), m.alias("value"))
+    return F.when(F.size(matches) > 0, F.zip_with(matches, ends, one)).otherwise(F.array().cast(SPAN))
 
 
 def _with_spans(docs: DataFrame, name: str, pattern: str, kind: int) -> DataFrame:
@@ -88,7 +93,7 @@ def samples(docs: DataFrame, limit: int = RANDOM_SAMPLE, ordinary_docs: int = OR
 
 
 def _codes(token: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.ascii(F.substr(token, i, F.lit(1))))
+    return F.transform(F.split(token, "", -1), lambda c: F.ascii(c))
 
 
 def train(labelled: DataFrame) -> list[float]:
@@ -96,7 +101,7 @@ def train(labelled: DataFrame) -> list[float]:
     from (token, random). At most 2 * 128^2 counts come to the driver. Tokens of one character,
     null or not ASCII are left out; without samples of both labels all ratios are 0."""
     rows = labelled.where("token rlike '^[\\\\x00-\\\\x7f]{2,}$' and random is not null").withColumn("c", _codes(F.col("token")))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("c") - 1), lambda i: F.element_at("c", i) * 128 + F.element_at("c", i + 1))
+    pairs = F.zip_with(F.expr("slice(c, 1, size(c) - 1)"), F.expr("slice(c, 2, size(c) - 1)"), lambda x, y: x * 128 + y)
     counts = rows.select("random", F.explode(pairs).alias("pair")).groupBy("random", "pair").count().collect()
     seen = {(r["random"], r["pair"]): r["count"] for r in counts}
     labels = {r for r, _ in seen}
@@ -122,28 +127,40 @@ def _evidence(token: Column, ratio: Column) -> Column:
     return F.aggregate(_codes(token), zero, step, lambda a: a["sum"])
 
 
+def _outside(tokens: Column, base: Column) -> Column:
+    """The tokens that no base span overlaps. Sorted by start, a token is free if no base span
+    before it ends after its start, and the next one begins at its end or later."""
+    seen = lambda spans: _running(F.transform(spans, lambda s: F.when(s["kind"] < 3, s["end"]).otherwise(0)), lambda x, y: F.greatest(x, y), F.lit(0))
+    far = F.lit(2**31 - 1)
+    after = lambda spans: F.reverse(_running(F.transform(F.reverse(spans), lambda s: F.when(s["kind"] < 3, s["start"]).otherwise(far)), lambda x, y: F.least(x, y), far))
+    beside = lambda spans: F.zip_with(seen(spans), after(spans), lambda x, y: F.struct(x.alias("seen"), y.alias("after")))
+    free = lambda s, b: F.when((s["kind"] == 3) & (b["seen"] <= s["start"]) & (b["after"] >= s["end"]), s)
+    found = _let(F.array_sort(F.concat(base, tokens)), lambda spans: F.filter(F.zip_with(spans, beside(spans), free), lambda s: s.isNotNull()))
+    return F.when((F.size(base) > 0) & (F.size(tokens) > 0), found).otherwise(tokens)
+
+
 def scan(docs: DataFrame, ratio: list[float]) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov of every document (doc_id,
     text; other columns are ignored).
 
     Offsets are code points, ends exclusive. spans lists base spans and those that the models
-    add (kind 'markov': tokens of 16 or more characters with a letter and a digit, outside all
-    base spans, that are far likelier random) as kind:start:end by start, then kind, joined by
-    commas. A null text counts as empty: no spans, and the hash of the empty string. Repeated
-    rows are scanned alike.
+    add (kind 'markov': tokens of 16 or more characters, outside all base spans, that are far
+    likelier random; tokens without both a letter and a digit need more evidence by character)
+    as kind:start:end by start, then kind, joined by commas. A null text counts as empty: no
+    spans, and the hash of the empty string. Repeated rows are scanned alike. The work grows with
+    a text's length times, at most, the bits of its number of spans.
     """
     docs = base_spans(docs.select(F.col("doc_id").cast("long"), "text"))
     docs = docs.withColumn("_base", F.array_sort(F.concat("_assign", "_access", "_hex")))
     docs = _with_spans(docs, "_token", TOKEN, 3)
     table = F.expr("array(" + ",".join(f"{x!r}D" for x in ratio) + ")")  # lit() would make a column of each entry
-    free = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
     mixed = lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")
 
     def likely(s):
-        e = _evidence(s["value"], table)
-        return (e >= EVIDENCE) & (e >= PER_PAIR * (s["end"] - s["start"] - 1))
+        least = F.when(mixed(s), PER_PAIR).otherwise(PER_PAIR_PLAIN)
+        return _let(_evidence(s["value"], table), lambda e: (e >= EVIDENCE) & (e >= least * (s["end"] - s["start"] - 1)))
 
-    docs = docs.withColumn("_token", F.filter("_token", lambda s: mixed(s) & free(s)))
+    docs = docs.withColumn("_token", _outside(F.col("_token"), F.col("_base")))
     docs = docs.withColumn("_markov", F.filter("_token", likely))
     listed = lambda a: F.concat_ws(",", F.transform(a, lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), s["start"], s["end"])))
     size = lambda c: F.size(c).cast("long")

@@ -4,6 +4,7 @@ import hashlib
 import heapq
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -151,13 +152,27 @@ def test_leaks(spark, odd, none):
     got = {(x.doc_id, x.item_id): x for x in decontam.leaks(docs, items).collect()}
     assert set(got) == {(1, 7), (2, 7)} and got[2, 7].tiles == 2 and got[1, 7].coverage == 1
     assert {x.doc_id for x in decontam.clean(docs, items).collect()} == {3, 4, 5}
-    small = decontam.BLOCK_BYTES
-    blocks = list(decontam.blocks(items, 10))
-    assert len(blocks) == 2 and small
     assert decontam.leaks(odd, items).count() == 0 and decontam.clean(odd, items).count() == odd.count()
     assert decontam.leaks(none, items).count() == decontam.leaks(odd, items.where("false")).count() == 0
 
 
+def test_a_benchmark_of_any_size_gives_the_same(spark, odd, none, corpus, sf_dir, monkeypatch):
+    r = random.Random(11)
+    phrase = " ".join(f"p{i}" for i in range(5))
+    rows = [(1, phrase + " " + " ".join([phrase] * 9)), (2, "Too Short!"), (2, "too short"), (3, "too short indeed"), (4, "word"), (5, None), (6, "")]
+    items = spark.createDataFrame([(7, " ".join([phrase] * 10 + [f"w{i}" for i in range(50)])), (8, "too, short"), (9, "word"), (10, None), (11, " ")], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("seeds", F.lit(1))
+    cases = [(docs, items), (corpus[0], spark.read.parquet(f"{sf_dir}/benchmark.parquet")), (odd, items), (none, items), (docs, items.where("item_id > 9"))]
+    plain = [(sorted(decontam.leaks(*c).collect()), Counter(map(str, decontam.clean(*c).collect()))) for c in cases]
+    assert [tuple(x)[:2] for x in plain[0][0]] == [(1, 7), (2, 8), (2, 8), (4, 9)] and plain[1][0]
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 0)
+    for case, (leaked, kept) in zip(cases, plain, strict=True):
+        if case[1].where("item_id < 10").count():
+            assert decontam._small(case[1]) is None
+        assert sorted(decontam.leaks(*case).collect()) == leaked
+        assert Counter(map(str, decontam.clean(*case).collect())) == kept and decontam.clean(*case).columns == case[0].columns
+
+
 # ---------------------------------------------------------------- 3
 
 
@@ -356,6 +371,15 @@ def test_lines_go_from_short_pages_and_not_from_copies(spark):
         assert (r.text, r.n_removed) == ((f"own {r.doc_id}", 2) if r.doc_id < 100 else (f"{head}\n\n \n{licence}", 0))
 
 
+def test_lines_of_a_long_text(spark):
+    rows = [(i, f"all sites have this {i % 7}\nown {i}", f"s{i}") for i in range(100)]
+    rows.append((1000, "\n".join(f"all sites have this {i % 7}" if i % 2 else f"line {i}" for i in range(100_000)), "s1"))
+    began = time.time()
+    got = linededup.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("doc_id = 1000").first()
+    assert time.time() - began < 60
+    assert got.n_lines == 100_000 and got.n_removed == 50_000 and got.text == "\n".join(f"line {i}" for i in range(0, 100_000, 2))
+
+
 def test_short_lines_go_by_their_sites_too(spark):
     docs = spark.createDataFrame([(i, f"Menu\n\nown text {i}\nx{i % 9}", f"s{i}") for i in range(12)], "doc_id long, text string, source string")
     for r in linededup.remove_boilerplate(docs).collect():
@@ -393,16 +417,53 @@ def test_secret_spans(spark, odd, none):
     assert set(secrets.train(secrets.samples(none))) == {0.0}
 
 
+def plain_ratio(train):
+    """Log-likelihood ratio of a token under two character models, by counting."""
+    letters = sorted({c for t, _ in train for c in t})
+    pairs = {x: Counter(p for t, y in train if y == x for p in zip(t, t[1:], strict=False)) for x in (True, False)}
+
+    def log(x, a, b):
+        return np.log((pairs[x][a, b] + 0.5) / (sum(pairs[x][a, c] for c in letters) + 0.5 * len(letters)))
+
+    return lambda t: sum(log(True, a, b) - log(False, a, b) for a, b in zip(t, t[1:], strict=False) if a in letters and b in letters)
+
+
 def test_random_tokens_are_told_from_identifiers(spark):
     r = random.Random(9)
-    key = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    key = lambda n, a=letters + "0123456789": "".join(r.choices(a, k=n))
     name = lambda: "_".join(r.choice(WORDS) for _ in range(4)) + r.choice("123")
     train = [(key(32), True) for _ in range(400)] + [(name(), False) for _ in range(400)]
     ratio = secrets.train(spark.createDataFrame(train, "token string, random boolean"))
     found, clean = key(40), name()
-    docs = spark.createDataFrame([(1, f"use {found} with é {clean} 4862648561270567")], "doc_id long, text string")
-    row = secrets.scan(docs, ratio).first()
-    assert row.spans == f"markov:4:{4 + len(found)}" and row.n_markov == 1
+    rows = [f"use {found} with é {clean} 4862648561270567", f"token={key(30)} {key(20)}", *[" ".join(r.choice([key(r.randint(16, 40)), name(), key(24, letters)]) for _ in range(5)) for _ in range(60)]]
+    want, by = plain_ratio(train), {}
+    got = {x.doc_id: x for x in secrets.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), ratio).collect()}
+    assert got[0].spans == f"markov:4:{4 + len(found)}" and got[0].n_markov == 1
+    for i, t in enumerate(rows):
+        by[i] = base(t).split(",") if base(t) else []
+        taken = [tuple(map(int, x.split(":")[1:])) for x in by[i]]
+        for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", t):
+            if any(a < m.end() and e > m.start() for a, e in taken):
+                continue
+            least = 0.35 if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) else 0.7
+            if (e := want(m[0])) >= np.log(1e6) and e >= least * (len(m[0]) - 1):
+                by[i].append(f"markov:{m.start()}:{m.end()}")
+        assert got[i].spans == ",".join(sorted(by[i], key=lambda x: int(x.split(":")[1])))
+    assert sum(x.n_markov for x in got.values()) > 60
+
+
+def test_secrets_in_long_texts(spark):
+    """A token of a megabyte, and a text of tens of thousands of tokens and base spans, in seconds."""
+    r = random.Random(10)
+    key = lambda n: "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    texts = [key(1_000_000), " ".join(f"password=hunter{i} {key(20)}" for i in range(30_000))]
+    ratio = secrets.train(spark.createDataFrame([(key(32), True) for _ in range(300)] + [("_".join(WORDS[:4]), False)] * 50, "token string, random boolean"))
+    began = time.time()
+    got = sorted(secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ratio).collect())
+    assert time.time() - began < 90
+    assert got[0].spans == "markov:0:1000000" and got[1].n_assign == 30_000
+    assert [x for x in got[1].spans.split(",") if x[0] == "a"] == base(texts[1]).split(",")
 
 
 # ---------------------------------------------------------------- 9
@@ -508,11 +569,29 @@ def test_near_duplicates_equal_brute_force(spark, k, percent):
     assert all(x.n_shingles == len(sets[x.doc_id]) and x.kept == (x.doc_id == x.component_id) for x in got)
 
 
+def test_ids_on_several_texts_join_nothing(spark):
+    r = random.Random(8)
+    t, u, v = text(r, 60), text(r, 60), text(r, 60)
+    rows = [(2, t, "a"), (6, t + " q", "a"), (6, u, "a"), (9, u, "a"), (6, v, "a"), (6, v, "b"), (7, t, "a"), (7, t, "a"), (5, v + " q", "a"), (None, v, "a"), (None, None, "a"), (8, None, "a"), (8, None, "a"), (11, t + " w", "a"), (2, t + " z", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter((x.doc_id, x.component_id, x.kept) for x in minhash.near_duplicates(docs).collect())
+    want = [(2, 2, True), (6, 2, False), (6, 6, True), (9, 6, False), (6, 5, False), (6, 5, False), (7, 2, False), (7, 2, False), (5, 5, True), (None, None, True), (None, None, True), (8, 8, True), (8, 8, True), (11, 2, False), (2, 2, True)]
+    assert got == Counter(want)
+    kept = Counter((x.doc_id, x.text) for x in minhash.keep_one(docs).collect())
+    first = {(2, t), (2, t + " z")} & set(kept)
+    assert len(first) == 1 and minhash.keep_one(docs).columns == docs.columns
+    assert kept == Counter([*first, (6, u), (5, v + " q"), (None, v), (None, None), (8, None), (8, None)])
+    again = minhash.keep_one(docs.where("doc_id = 7")).collect()
+    assert [tuple(x) for x in again] == [(7, t, "a")]
+
+
 def test_near_duplicates_odd_rows(odd, none):
     got = minhash.near_duplicates(odd).collect()
     assert len(got) == odd.count()
     assert {r.component_id for r in got if r.doc_id == 5} == {4}
     assert minhash.near_duplicates(none).count() == 0
+    # of documents 4 and 5 and of the two rows of 6 one each goes
+    assert minhash.keep_one(odd).count() == odd.count() - 2 and minhash.keep_one(none).count() == 0
 
 
 # ---------------------------------------------------------------- pipeline
@@ -530,12 +609,12 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, sf_dir, corpus):
     sites = {}
     for d, t in rows.items():
         for line in t.split("\n"):
-            if len(line) >= linededup.LEAST:
+            if line:
                 sites.setdefault(line, set()).add(site[d])
     wide = {x for x, s in sites.items() if len(s) >= linededup.SITES}
     for d, t in rows.items():
         rest = [x for x in t.split("\n") if x not in wide]
-        if 2 * sum(map(len, rest)) >= sum(map(len, t.split("\n"))):
+        if any(x.strip(" \t\x0b\f\r") for x in rest):
             rows[d] = "\n".join(rest)
     comp, _ = brute_components(list(rows.items()), 5, 80)
     rows = {d: t for d, t in rows.items() if comp[d] == d}

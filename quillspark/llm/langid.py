@@ -1,12 +1,14 @@
 """Language identification by compression with per-language zstandard dictionaries.
 
 Each language's dictionary is raw text of that language. A text is cut into blocks, each
-block is encoded with every dictionary, and the language with the smallest total wins. The
-cut keeps long texts from turning into their own dictionary.
+block is encoded with every dictionary, and the language with the smallest total wins, unless
+the second is within the margin: then the text is rejected. The cut keeps long texts from
+turning into their own dictionary.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 
@@ -17,7 +19,8 @@ from pyspark.sql import Window as W
 
 UND = "und"
 PER_LANGUAGE = 96  # documents that a dictionary is made of at most
-TAKE = 2_000  # characters that each gives to it at most
+BLOCKS = 188  # blocks of these documents that it has at most
+LEAST_MARGIN = 0.03  # share of bytes by which the second language must be larger; from labelled rows (README)
 LANGUAGES = 1_000  # languages that fit() takes at most: bounds what goes to the driver
 BLOCK = 1_024  # characters encoded at once
 LEVEL = 9
@@ -30,21 +33,27 @@ def plain(text: str) -> str:
     return OTHER.sub(" ", text.lower())
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, take: int = TAKE) -> dict[str, bytes]:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, blocks: int = BLOCKS) -> dict[str, bytes]:
     """Dictionaries from a bounded sample of labelled rows (doc_id, text, lang): for each
-    language the `per_language` rows of lowest hash, `take` characters of each. Rows without
-    text or language are left out. The sample is picked on ids alone; window group limits keep
-    it small on every task."""
+    language the whole texts of the `per_language` rows of lowest hash are cut into blocks, and
+    up to `blocks` of these are taken, from anywhere in the texts and from all texts in turn. Rows
+    without text or language are left out. Rows are picked on ids alone; window group limits
+    keep the sample small on every task, and only the chosen blocks come to the driver."""
     order = W.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    rows = docs.where("text is not null and lang is not null and doc_id is not null")
+    rows = docs.where("text is not null and lang is not null and doc_id is not null").select("doc_id", "lang", "text")
     picked = rows.select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).where(f"nth <= {per_language}").drop("nth")
     if picked.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
-    got = rows.select("doc_id", "lang", F.substring("text", 1, take).alias("t")).join(F.broadcast(picked.distinct()), ["doc_id", "lang"])
+    cut = F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))).alias("at", "block")
+    cut = rows.join(F.broadcast(picked.distinct()), ["doc_id", "lang"]).select("doc_id", "lang", cut)
+    by_hash = [F.xxhash64("doc_id", "at", "block"), F.col("doc_id"), F.col("at")]
+    turn = F.row_number().over(W.partitionBy("lang", "doc_id").orderBy(*by_hash))
+    cut = cut.withColumn("turn", turn).where(f"turn <= {blocks}")
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("turn", *by_hash))
     by: dict[str, list] = {}
-    for r in got.collect():
-        by.setdefault(r.lang, []).append((r.doc_id, r.t))
-    return {lang: " ".join(plain(t) for _, t in sorted(x)).encode() for lang, x in sorted(by.items())}
+    for r in cut.withColumn("nth", nth).where(f"nth <= {blocks}").select("lang", "doc_id", "at", "block").collect():
+        by.setdefault(r.lang, []).append((r.doc_id, r["at"], r.block))
+    return {lang: " ".join(plain(t) for _, _, t in sorted(x)).encode() for lang, x in sorted(by.items())}
 
 
 class Model:
@@ -80,36 +89,41 @@ class Model:
         return self.langs[sizes.index(best)], p, (second - best) / best
 
 
-_models: dict[int, Model] = {}
+_models: dict[bytes, Model] = {}  # by digest of the dictionaries; one at a time
 
 
 def predictor(spark: SparkSession, dictionaries: dict[str, bytes]):
     """A column function text -> struct<lang, score, margin>."""
     held = spark.sparkContext.broadcast(dictionaries)
+    digest = hashlib.sha256(repr(sorted(dictionaries.items())).encode()).digest()
 
     @F.pandas_udf("lang string, score double, margin double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        key = held.id if hasattr(held, "id") else id(held)
-        model = _models.get(key) or _models.setdefault(key, Model(held.value))
+        model = _models.get(digest)
+        if model is None:
+            _models.clear()
+            model = _models[digest] = Model(held.value)
         return pd.DataFrame([model.predict(t) for t in texts], columns=["lang", "score", "margin"])
 
     return predict
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
-    """All columns of docs, and lang_pred, score, margin: the language of each whole text. Columns
-    of these names are replaced.
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], least_margin: float = LEAST_MARGIN) -> DataFrame:
+    """All columns of docs, and lang_pred, score, margin, rejected: the language of each whole text,
+    and whether it is uncertain ('und', or by a margin up to least_margin). Columns of these
+    names are replaced.
 
     A text that is null or has no letter is 'und' with score 0. Ties go to the language first
-    in the alphabet, with margin 0. Repeated rows are predicted alike; without labelled rows
-    all is 'und'.
+    in the alphabet, with margin 0, and are rejected. Repeated rows are predicted alike; without
+    labelled rows all is 'und'.
     """
     p = predictor(docs.sparkSession, dictionaries)(F.col("text"))
-    docs = docs.drop("lang_pred", "score", "margin")
-    return docs.select("*", p["lang"].alias("lang_pred"), p["score"].alias("score"), p["margin"].alias("margin"))
+    docs = docs.drop("lang_pred", "score", "margin", "rejected")
+    rejected = (p["lang"] == UND) | (p["margin"] <= least_margin)
+    return docs.select("*", p["lang"].alias("lang_pred"), p["score"].alias("score"), p["margin"].alias("margin"), rejected.alias("rejected"))
 
 
-def accept(docs: DataFrame, dictionaries: dict[str, bytes], least_margin: float) -> DataFrame:
-    """The documents whose language is certain: not 'und', and with a margin over least_margin."""
+def accept(docs: DataFrame, dictionaries: dict[str, bytes], least_margin: float = LEAST_MARGIN) -> DataFrame:
+    """The documents that identify() doesn't reject."""
     p = predictor(docs.sparkSession, dictionaries)(F.col("text"))
     return docs.withColumn("_qs_p", p).where(f"_qs_p.lang <> '{UND}' and _qs_p.margin > {least_margin}").drop("_qs_p")

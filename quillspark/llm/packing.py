@@ -4,8 +4,10 @@ Documents become pieces; pieces that fill a sequence have one of their own. The
 dealt into partitions of bounded size. Each partition packs its own by best-fit decreasing
 and certifies the count by dual-feasible lower bounds: where count and bound are equal it is
 proven optimal. Partitions with a gap release their least filled bins; the released documents
-of several partitions meet and are packed again, and the new bins replace the old ones only if
-they are fewer. This repeats until no gap is left or nothing improves.
+of several partitions meet and are packed again, unless a bound shows that this can't save a bin,
+and the new bins replace the old ones only if they are fewer: the meeting is then a partition
+like the others. Counts and bounds are taken anew after each round, and of all documents
+together, until a bound is reached, nothing improves or the rounds are over.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ RELEASE = 256  # bins that a partition with a gap releases at most
 MEET = 16  # partitions whose released documents meet
 
 
-def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """The best of several dual-feasible functions on integer sizes in 1..capacity.
+def lower_bound(sizes: np.ndarray, capacity: int, times: np.ndarray | None = None) -> int:
+    """The best of several dual-feasible functions on integer sizes in 1..capacity, each of which
+    stands for so many.
 
     The identity; for each a <= capacity/2 the function that counts sizes over capacity - a as
     a full bin and those under a as nothing; and the rounding functions
@@ -32,7 +35,8 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     """
     if not len(sizes):
         return 0
-    n = np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
+    n = np.zeros(capacity + 1, np.int64)
+    np.add.at(n, sizes, 1 if times is None else times)
     count, mass = np.cumsum(n), np.cumsum(n * np.arange(capacity + 1))
     best = -(-int(mass[-1]) // capacity)
     a = np.arange(1, capacity // 2 + 1)
@@ -104,42 +108,59 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
     )
 
 
-PACKED = "row long, part long, length long, bin long, offset long, bins long, bound long"
+PACKED = "row long, part long, length long, bin long, offset long"
 
 
 def pack_partition(capacity: int):
     """For applyInPandas: packs the pieces of one partition."""
 
     def pack(pdf):
-        sizes = pdf["length"].to_numpy()
-        bins, offs, used = best_fit_decreasing(sizes, capacity)
-        return pdf.assign(bin=bins, offset=offs, bins=used, bound=lower_bound(sizes, capacity))[["row", "part", "length", "bin", "offset", "bins", "bound"]]
+        bins, offs, _ = best_fit_decreasing(pdf["length"].to_numpy(), capacity)
+        return pdf.assign(bin=bins, offset=offs)[["row", "part", "length", "bin", "offset"]]
 
     return pack
 
 
 def meet_again(capacity: int):
-    """For applyInPandas: packs released pieces of several partitions; keeps the old bins
-    unless the new ones are fewer. Old bins are (part, bin); new ones belong to the meeting."""
+    """For applyInPandas: packs released pieces of several partitions; they become the meeting's
+    if that takes fewer bins, else they stay as they are."""
 
     def pack(pdf):
-        sizes = pdf["length"].to_numpy()
-        bins, offs, used = best_fit_decreasing(sizes, capacity)
-        old = len(pdf[["seq_part", "bin"]].drop_duplicates())
-        better = used < old
-        if better:
-            pdf = pdf.assign(seq_part=pdf["meeting"], bin=bins, offset=offs)
-        return pdf.assign(saved=(old - used) if better else 0)[["row", "part", "length", "seq_part", "bin", "offset", "saved"]]
+        sizes, saved = pdf["length"].to_numpy(), 0
+        old = len(pdf[["part", "bin"]].drop_duplicates())
+        if lower_bound(sizes, capacity) < old:
+            bins, offs, used = best_fit_decreasing(sizes, capacity)
+            if used < old:
+                pdf, saved = pdf.assign(part=pdf["meeting"], bin=bins, offset=offs), old - used
+        return pdf.assign(saved=saved)[["row", "part", "length", "bin", "offset", "saved"]]
 
     return pack
 
 
+def certify(state: DataFrame, capacity: int) -> DataFrame:
+    """(part, bins, bound) of each partition: the bins it uses and the fewest that could do, from
+    its counts by length, of which there are at most `capacity`."""
+
+    def bound(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            got = [lower_bound(np.array([x["length"] for x in h]), capacity, np.array([x["n"] for x in h])) for h in batch.column("h").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("bins"), pa.array(got, pa.int64())], names=["part", "bins", "bound"])
+
+    bins = state.groupBy("part", "bin").agg(F.lit(1)).groupBy("part").agg(F.count("*").alias("bins"))
+    lengths = state.groupBy("part", "length").agg(F.count("*").alias("n")).groupBy("part").agg(F.collect_list(F.struct("length", "n")).alias("h"))
+    return bins.join(lengths, "part").mapInArrow(bound, "part long, bins long, bound long")
+
+
 def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, rounds: int = 3, partition: int = PARTITION) -> DataFrame:
     """Packs all documents (doc_id, text; other columns are ignored) into sequences of at most
     `capacity` tokens: ids by the tokenizer file, then `end_id`.
 
     Returns per piece: doc_id, piece (from 0), start, length, ids_crc32, sequence_id, offset,
-    certified (boolean: the partition that packed it proved its number of bins optimal).
+    certified (boolean: the partition that packed it proved its number of bins optimal),
+    sequences and sequences_bound (of the whole packing: how many it has, and a proven lower
+    bound of how many any packing of these pieces has).
     A null or empty text is the single token end_id. Rows that repeat, or share a doc_id, are
     packed each for itself. Without rows there are no pieces.
     """
@@ -149,27 +170,33 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, roun
     loose = every.where(f"length < {capacity}")
     parts = max(1, -(-loose.count() // partition))
     dealt = loose.select("row", "length", F.pmod(F.xxhash64("row"), F.lit(parts)).alias("part"))
-    first = scratch.keep(dealt.groupBy("part").applyInPandas(pack_partition(capacity), PACKED))
-    state = first.select("row", "part", "length", F.col("part").alias("seq_part"), "bin", "offset", F.expr("bins = bound").alias("certified"))
-    gaps = first.where("bins > bound").select("part").distinct()
-    n_gaps = gaps.count()
+    state = scratch.keep(dealt.groupBy("part").applyInPandas(pack_partition(capacity), PACKED))
+    lengths = every.groupBy("length").count().collect()  # at most `capacity` rows
+    sizes, times = (np.array([r[c] for r in lengths], np.int64) for c in ("length", "count"))
+    least, full = lower_bound(sizes, capacity, times), int(times[sizes == capacity].sum())
     next_part = parts  # numbers of meetings follow those of the partitions
-    for turn in range(rounds if n_gaps > 1 else 0):
+    for turn in range(rounds + 1):
+        status = scratch.keep(certify(state, capacity))
+        used, n_gaps = status.agg(F.coalesce(F.sum("bins"), F.lit(0)), F.count_if(F.expr("bins > bound"))).first()
+        if turn == rounds or n_gaps < 2 or used + full == least:
+            break
         # one row a partition; their order is only used to form meetings
-        meetings = gaps.select("part", (F.floor(F.pmod(F.xxhash64("part", F.lit(turn)), F.lit(max(1, -(-n_gaps // MEET))))) + next_part).alias("meeting"))
-        fills = state.join(meetings, "part").groupBy("part", "meeting", "seq_part", "bin").agg(F.sum("length").alias("fill"))
-        fills = fills.where(f"fill < {capacity}").withColumn("nth", F.expr("row_number() over (partition by part order by fill, seq_part, bin)"))
-        out = fills.where(f"nth <= {RELEASE}").select("meeting", "seq_part", "bin")
-        released = state.join(out, ["seq_part", "bin"])
-        again = scratch.keep(released.groupBy("meeting").applyInPandas(meet_again(capacity), "row long, part long, length long, seq_part long, bin long, offset long, saved long"))
-        saved = again.agg(F.sum("saved")).first()[0]
-        if not saved:
+        n_meetings = max(1, -(-n_gaps // MEET))
+        meeting = F.pmod(F.xxhash64("part", F.lit(turn)), F.lit(n_meetings)) + next_part
+        meetings = status.where("bins > bound").select("part", meeting.alias("meeting"))
+        fills = state.join(meetings, "part").groupBy("part", "meeting", "bin").agg(F.sum("length").alias("fill"))
+        fills = fills.where(f"fill < {capacity}").withColumn("nth", F.expr("row_number() over (partition by part order by fill, bin)"))
+        released = state.join(fills.where(f"nth <= {RELEASE}").select("meeting", "part", "bin"), ["part", "bin"])
+        again = scratch.keep(released.groupBy("meeting").applyInPandas(meet_again(capacity), f"{PACKED}, saved long"))
+        moved = again.where("saved > 0").drop("saved")
+        if not moved.limit(1).count():
             break
-        rest = state.join(again.select("row"), "row", "left_anti")
-        state = scratch.keep(rest.unionByName(again.drop("saved").withColumn("certified", F.lit(False))))
-        next_part += max(1, -(-n_gaps // MEET))
-    seq = (F.shiftleft("seq_part", 32) + F.col("bin")) * 2
-    placed = state.select("row", seq.alias("sequence_id"), "offset", "certified")
-    full = every.where(f"length = {capacity}").withColumn("sequence_id", F.col("row") * 2 + 1).withColumn("offset", F.lit(0).cast("long")).withColumn("certified", F.lit(True))
+        state = scratch.keep(state.join(moved.select("row"), "row", "left_anti").unionByName(moved))
+        next_part += n_meetings
+    proved = status.select("part", (F.col("bins") == F.col("bound")).alias("certified"))
+    seq = (F.shiftleft("part", 32) + F.col("bin")) * 2
+    placed = state.join(proved, "part").select("row", seq.alias("sequence_id"), "offset", "certified")
+    whole = every.where(f"length = {capacity}").withColumn("sequence_id", F.col("row") * 2 + 1).withColumn("offset", F.lit(0).cast("long")).withColumn("certified", F.lit(True))
     cols = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified"]
-    return every.join(placed, "row").select(cols).unionByName(full.select(cols))
+    out = every.join(placed, "row").select(cols).unionByName(whole.select(cols))
+    return out.withColumns({"sequences": F.lit(used + full).cast("long"), "sequences_bound": F.lit(least).cast("long")})

@@ -39,7 +39,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(docs.where(_remainder(4) != 2)))
     held = F.coalesce(_remainder(4) == 2, F.lit(False))
-    return found.select(F.col("doc_id").cast("long"), held.alias("held_out"), "lang_pred", "score", "margin")
+    return found.select(F.col("doc_id").cast("long"), held.alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 Groups go, by falling size, to the least loaded shard of a heap. Groups of one size are
 interchangeable, so the schedule needs only the histogram of group sizes, which has at most
 sqrt(2 * total bytes) rows; a run of equal sizes is placed in closed form as the heap would.
-Group and row numbers come from range partitioning, never from one task.
+If the histogram has more rows than the driver should hold, its largest sizes stay exact and the
+groups after them go in bundles of neighbours by size, formed on the executors; a bundle is
+placed like a group. Group and row numbers come from range partitioning, never from one task.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 HEAP_RUN = 256  # runs of equal sizes up to this go through the heap one by one
+ROWS = 100_000  # sizes and bundles that the driver schedules at most
 
 
 def place_run(loads: list[int], size: int, count: int) -> list[int]:
@@ -50,18 +53,18 @@ def place_run(loads: list[int], size: int, count: int) -> list[int]:
     return got
 
 
-def schedule(histogram: list[tuple[int, int]], shards: int) -> list[tuple[int, list[int]]]:
-    """[(size, groups of that size)] -> [(size, for each shard the groups of that size in
-    shards up to it)], by falling size."""
+def schedule(runs: list[tuple], shards: int) -> list[tuple]:
+    """[(size, how many, ...)] -> [(..., for each shard how many of the run are in shards up to
+    it)], placed by falling size."""
     loads, out = [0] * shards, []
-    for size, count in sorted(histogram, reverse=True):
+    for size, count, *rest in sorted(runs, reverse=True):
         got = place_run(loads, size, count)
         upto, total = [], 0
         for i, n in enumerate(got):
             loads[i] += n * size
             total += n
             upto.append(total)
-        out.append((size, upto))
+        out.append((*rest, upto))
     return out
 
 
@@ -88,13 +91,22 @@ def shard_by_size(docs: DataFrame, shards: int = 8) -> DataFrame:
     groups = slim.groupBy("key").agg(F.sum("size").alias("weight"))
     placed = C.gapless(scratch, groups, [F.col("weight").desc(), F.col("key")], "nth")
     placed = scratch.keep(placed)
-    histogram = placed.groupBy("weight").agg(F.count("*").alias("n"), F.min("nth").alias("first")).collect()
-    first = {r["weight"]: r["first"] for r in histogram}
-    plan = [(w, first[w], upto) for w, upto in schedule([(r["weight"], r["n"]) for r in histogram], shards)]
-    plan = spark.createDataFrame(plan, "weight long, first long, upto array<long>")
-    # shards whose running total the group's place has passed come before its own
-    own = F.size(F.filter("upto", lambda u: u <= F.col("nth") - F.col("first"))).cast("int")
-    groups = placed.join(plan, "weight").select("key", own.alias("shard"))
+    histogram = placed.groupBy("weight").agg(F.count("*").alias("n"), F.min("nth").alias("first"))
+    exact = histogram.orderBy(F.col("weight").desc()).limit(ROWS + 1).collect()
+    runs, each, head = [(r["weight"], r["n"], r["first"], 1) for r in exact], 1, 2**62
+    if len(exact) > ROWS:
+        runs, head = runs[: ROWS // 2], exact[ROWS // 2]["first"]  # groups from number `head` on are bundled
+        each = -(-(placed.count() - head) // (ROWS // 2))
+        unit = F.floor((F.col("nth") - head) / each)
+        bundles = placed.where(f"nth >= {head}").groupBy(unit.alias("unit")).agg(F.sum("weight").alias("weight"), F.min("nth").alias("first"))
+        runs += [(r["weight"], 1, r["first"], each) for r in bundles.select("weight", "first").collect()]
+    plan = spark.createDataFrame(schedule(runs, shards), "first long, each long, upto array<long>")
+    starts = placed.join(histogram.select("weight", "first"), "weight")
+    starts = starts.withColumn("first", F.when(F.col("nth") < head, F.col("first")).otherwise(F.floor((F.col("nth") - head) / each) * each + head))
+    # shards whose running total the place within the run has passed come before its own
+    at = F.floor((F.col("nth") - F.col("first")) / F.col("each"))
+    own = F.size(F.filter("upto", lambda u: u <= at)).cast("int")
+    groups = starts.join(F.broadcast(plan), "first").select("key", own.alias("shard"))
     rows = slim.join(groups, "key").drop("key")
     numbered = C.gapless(scratch, rows, [F.col("shard"), F.col("doc_id"), F.col("text_crc32"), F.col("size")], "nth")
     numbered = scratch.keep(numbered)

@@ -9,7 +9,11 @@ For a block of queries and a block of rows the segments are processed in that or
 a row's sum is a lower bound of its score, and what its unseen postings can add at the next
 level gives an upper bound. Processing stops for a block only when the rows that may still
 enter a query's top k, by proof, are few, or the segments are at an end; those rows are scored
-exactly.
+exactly. A task meets a block of queries with many blocks of rows, and takes the threshold on
+from block to block, so it gives each query's k best of all of them.
+
+Sums are kept in doubles while every score that could occur is under 2^53, which is checked; larger
+ones are scored in whole numbers without the index, and those over 2^63 are an error.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ QUERIES = 512  # queries in a query block
 LEVELS = 8
 FEW = 0.03  # share of (query, row) pairs in a block that is cheaper to score than to bound
 SEED_ROWS = 2_048  # rows that give every query its first threshold
+TASKS = 64  # tasks that blocks of rows are dealt to for each block of queries
 
 
 def whole(embedding: str = "embedding", scale: int = 64):
@@ -107,13 +112,18 @@ class Index:
         return may
 
 
-def _best(q_at, r_at, scores, ids, k):
-    """The k best of each query among scored pairs: ties to the smaller id."""
-    order = np.lexsort((ids[r_at], -scores, q_at))
-    q_at, r_at, scores = q_at[order], r_at[order], scores[order]
-    first = np.searchsorted(q_at, q_at, "left")
-    keep = np.arange(len(q_at)) - first < k
-    return q_at[keep], r_at[keep], scores[keep]
+def _best(at, ids, scores, k):
+    """The k best of each query among scored rows, by query and falling score: ties to the smaller id."""
+    order = np.lexsort((ids, -scores, at))
+    at, ids, scores = at[order], ids[order], scores[order]
+    keep = np.arange(len(at)) - np.searchsorted(at, at, "left") < k
+    return at[keep], ids[keep], scores[keep]
+
+
+def _ranges(vectors: DataFrame) -> DataFrame:
+    """(dim, d, lo, hi) of each component of the vectors of each dimension."""
+    long = vectors.select(F.size("v").alias("dim"), F.posexplode("v").alias("d", "x"))
+    return long.groupBy("dim", "d").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
 
 
 FOUND = "query_id long, vec_id long, score long"
@@ -125,7 +135,7 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 20) -> DataFrame:
 
     queries, rows: vec_id, v (array<long>; see whole()). Rows with a null id or v take no part;
     vectors only meet those of their own length. A repeated vec_id counts as often as it occurs.
-    Without queries or rows there are no results. Scores stay under 2^53.
+    Without queries or rows there are no results. Scores must be under 2^63.
     """
     spark = queries.sparkSession
     scratch = C.Scratch(spark)
@@ -133,55 +143,76 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 20) -> DataFrame:
     queries = queries.where("vec_id is not null and v is not null and size(v) > 0").select(F.col("vec_id").cast("long"), "v")
     index = scratch.keep(blocks_of(rows, ROWS))
     asked = scratch.keep(blocks_of(queries, QUERIES))
-    ranges = (
-        rows.select(F.size("v").alias("dim"), F.posexplode("v").alias("d", "x")).groupBy("dim", "d")
-        .agg(F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
-    )
-    if not ranges:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     span: dict[int, list] = {}
-    for r in sorted(ranges, key=lambda r: (r.dim, r.d)):
+    worst: dict[int, int] = {}
+    for r in _ranges(rows).join(_ranges(queries).select("dim", "d", F.col("lo").alias("q_lo"), F.col("hi").alias("q_hi")), ["dim", "d"]).orderBy("dim", "d").collect():
         span.setdefault(r.dim, []).append((r.lo, r.hi))
+        worst[r.dim] = worst.get(r.dim, 0) + max(abs(r.lo), abs(r.hi)) * max(abs(r.q_lo), abs(r.q_hi))
+    if not span:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    if max(worst.values()) >= 2**63:
+        raise OverflowError("scores of 2^63 and more can't be told apart")
     # a bounded sample: any k rows give a valid threshold
     seeds: dict[int, list] = {}
     for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SEED_ROWS).collect():
         seeds.setdefault(len(r.v), []).append((r.vec_id, r.v))
-    held = spark.sparkContext.broadcast((span, {d: (np.array([i for i, _ in s]), np.array([v for _, v in s])) for d, s in seeds.items()}))
+    seeds = {d: (np.array([i for i, _ in s]), np.array([v for _, v in s])) for d, s in seeds.items() if len(s) > k and worst.get(d, 2**53) < 2**53}
+    held = spark.sparkContext.broadcast((span, seeds, worst))
 
     def meet(batches):
         import pyarrow as pa
 
-        span, seeds = held.value
+        span, seeds, worst = held.value
+        low = -(2**63)
+        now, best = None, None  # the query block at hand, and (queries, ids, scores) found for it
+
+        def flush():
+            at, ids, scores = best
+            return pa.RecordBatch.from_arrays([pa.array(qid[at], pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.int64())], names=["query_id", "vec_id", "score"])
+
         for batch in batches:
             for r in batch.to_pylist():
                 d = r["dim"]
-                qid, xid = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["ids"], "<i8")
+                xid = np.frombuffer(r["ids"], "<i8")
                 q, x = (np.frombuffer(r[c], f"<i{r[w]}").astype(np.int64).reshape(-1, d) for c, w in (("q_vectors", "q_width"), ("vectors", "width")))
-                lo, hi = np.array(span[d]).T
-                threshold = np.full(len(q), -(2**53))
-                if d in seeds and len(seeds[d][0]) > k:
-                    sid, sv = seeds[d]
-                    s = q.astype(float) @ sv.T.astype(float)
-                    s[qid[:, None] == sid[None]] = -(2.0**53)
-                    threshold = np.partition(s, -k, axis=1)[:, -k].astype(np.int64)
-                may = Index(x, lo, hi).candidates(q, threshold, k)
+                if r["q_block"] != now:
+                    if best is not None and len(best[0]):
+                        yield flush()
+                    now, qid = r["q_block"], np.frombuffer(r["q_ids"], "<i8")
+                    best = tuple(np.empty(0, np.int64) for _ in range(3))
+                    threshold = np.full(len(q), low)
+                    if d in seeds:
+                        s = q.astype(float) @ seeds[d][1].T.astype(float)
+                        s[qid[:, None] == seeds[d][0][None]] = -(2.0**53)
+                        threshold = np.partition(s, -k, axis=1)[:, -k].astype(np.int64)
+                if worst[d] < 2**53:
+                    lo, hi = np.array(span[d]).T
+                    may = Index(x, lo, hi).candidates(q, threshold, k)
+                else:
+                    may = np.ones((len(q), len(x)), bool)
                 may &= qid[:, None] != xid[None]
                 at_q, at_x = np.nonzero(may)
                 if not len(at_q):
                     continue
-                if may.mean() > 0.2:
+                if worst[d] < 2**53 and may.mean() > 0.2:
                     scores = (q.astype(float) @ x.T.astype(float))[at_q, at_x].astype(np.int64)
                 else:
                     scores = np.concatenate([np.einsum("ij,ij->i", q[at_q[i : i + 65536]], x[at_x[i : i + 65536]]) for i in range(0, len(at_q), 65536)])
                 enough = scores >= threshold[at_q]
-                at_q, at_x, scores = _best(at_q[enough], at_x[enough], scores[enough], xid, k)
-                yield pa.RecordBatch.from_arrays([pa.array(qid[at_q], pa.int64()), pa.array(xid[at_x], pa.int64()), pa.array(scores, pa.int64())], names=["query_id", "vec_id", "score"])
+                found = (at_q[enough], xid[at_x[enough]], scores[enough])
+                best = _best(*(np.concatenate(c) for c in zip(best, found, strict=True)), k)
+                # the k-th best so far is a score that k rows reach
+                of, first, times = np.unique(best[0], return_index=True, return_counts=True)
+                of, last = of[times >= k], (first + k - 1)[times >= k]
+                threshold[of] = np.maximum(threshold[of], best[2][last])
+        if best is not None and len(best[0]):
+            yield flush()
 
     # every query block is sent to every index block; both are few, packed and of bounded size
     asked_by = asked.select(F.col("block").alias("q_block"), "dim", F.col("width").alias("q_width"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
     pairs = index.select("block", "dim").join(asked_by.select("q_block", "dim"), "dim")
     pairs = pairs.join(index.select("block", "width", "ids", "vectors"), "block").join(asked_by.drop("dim"), "q_block")
-    pairs = pairs.repartition(F.col("block"), F.col("q_block"))
+    pairs = pairs.repartition("q_block", F.pmod(F.xxhash64("block"), F.lit(TASKS))).sortWithinPartitions("q_block")
     found = pairs.mapInArrow(meet, FOUND)
     rank = F.expr("row_number() over (partition by query_id order by score desc, vec_id)")
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -15,33 +15,38 @@ from quillspark.llm import decontam, langid, linededup, minhash, packing
 from quillspark.llm.queries import tokenizer_path
 
 #: Share of bytes by which the second language must be larger. From held-out labelled rows (README).
-LEAST_MARGIN = 0.03
+LEAST_MARGIN = langid.LEAST_MARGIN
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents with an identifiable language; goes: null, no letter, or a narrow margin."""
+    """Keeps the documents with an identifiable language; goes: null, empty or no letter, a tie or a
+    narrow margin. Learns from the rows with a lang; without any, nothing is identifiable. Rows
+    that repeat are treated alike."""
     return langid.accept(docs, langid.fit(docs), LEAST_MARGIN)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes boilerplate lines out; keeps every document."""
+    """Takes boilerplate lines out; keeps every row. Null and empty texts stay as they are; a null
+    source counts for no line; n_chars follows the text."""
     return linededup.remove_boilerplate(docs).select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies (five words, 0.8)."""
-    found = minhash.near_duplicates(docs, k=5, percent=80)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Keeps one row of each group of near copies (five words, 0.8), that of the smallest doc_id. Rows
+    go by id and text: different texts under one id are different documents, of rows that repeat
+    one stays. Rows without words or with a null doc_id all stay."""
+    return minhash.keep_one(docs, k=5, percent=80)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that leak a benchmark passage."""
+    """Drops documents that leak a benchmark passage. Null and empty texts stay; null and empty
+    passages can't be leaked; rows that repeat are treated alike."""
     return decontam.clean(docs, C.table(spark, sf_dir, "benchmark"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 1024 tokens."""
+    """Packs what is left into sequences of 1024 tokens. A null or empty text is its end id alone;
+    every row is packed for itself, repeated or not; no rows give no pieces."""
     return packing.pack(docs, tokenizer_path(), 1024, 2)
 
 

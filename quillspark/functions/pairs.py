@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -68,3 +69,27 @@ def stemmer(language: str) -> Callable[..., Column]:
 
 def murmur3() -> Callable[..., Column]:
     return _single(K.murmur3, "int")
+
+
+def hashed_cells(id_col: str, n_features: int, alternate_sign: bool = True, binary: bool = False) -> Callable:
+    """For mapInArrow on (id, terms array): (id, col, n), the signed number of terms in each hashed
+    column of each row. Each distinct term of a batch is hashed once."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            terms = batch.column(1).fill_null([])
+            row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(terms.offsets)))
+            words = terms.flatten().dictionary_encode()
+            code = np.asarray(words.indices, dtype=np.int64)
+            if binary:
+                row, code = (x.astype(np.int64) for x in np.unique(np.stack([row, code]), axis=1))
+            h = K.murmur3_many(words.dictionary.to_pylist()).astype(np.int64)
+            sign = np.where((h < 0) & alternate_sign, -1.0, 1.0)
+            cell, at = np.unique(row * n_features + (np.abs(h) % n_features)[code], return_inverse=True)
+            n = np.bincount(at, sign[code], len(cell))
+            ids = batch.column(0).take(pa.array(cell // n_features))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(cell % n_features), pa.array(n)], names=[id_col, "col", "n"])
+
+    return run

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.pairs import fuzzy_functions
+from ..plans.storage import keep
 
 Scorer = Callable[[Column, Column], Column]
-#: Choices up to this many bytes are broadcast to the queries' rows; more are joined in blocks.
+#: Bytes of queries that are broadcast to the choices at once; more queries go in several passes.
 BROADCAST_BYTES = 64 << 20
 
 
@@ -30,10 +31,15 @@ def extract(queries: DataFrame, choices: DataFrame, scorer: Scorer | None = None
     scorer = scorer or fuzzy_functions()["wratio"]
     asked = queries.select(F.col(query).alias("query")).where("query is not null").distinct()
     texts = choices.where(F.col(choice).isNotNull()).select(F.col(choice).alias("choice")).distinct()
-    size = asked.agg(F.sum(F.octet_length("query"))).first()[0] or 0
-    # texts is the large side and stays where it is; the stated queries go to it if they are small
-    asked = F.broadcast(asked) if size <= BROADCAST_BYTES else asked
-    pairs = texts.join(asked, how="cross")
+    size = asked.agg(F.sum(F.octet_length("query") + 16)).first()[0] or 0
+    # texts is the large side and stays where it is; the stated queries go to it in parts of checked size
+    parts = -(-size // BROADCAST_BYTES) or 1
+    part = F.pmod(F.xxhash64("query"), F.lit(2 * parts)) if parts > 1 else F.lit(0)
+    asked = keep(asked.withColumn("part", part)) if parts > 1 else asked.withColumn("part", part)
+    pairs = None
+    for i in range(2 * parts if parts > 1 else 1):
+        some = texts.join(F.broadcast(asked.where(F.col("part") == i).drop("part")), how="cross")
+        pairs = some if pairs is None else pairs.unionByName(some)
     if bounded_by_ratio and cutoff > 0:
         pairs = pairs.where(ratio_bound("query", "choice") >= cutoff)
     scored = pairs.withColumn("score", scorer(F.col("query"), F.col("choice"))).where(F.col("score") >= cutoff)
@@ -62,17 +68,15 @@ def find_clusters(records: DataFrame, block: Column, similarity: Scorer, thresho
     """(id, cluster_id): the closure of matching pairs; cluster_id is the smallest id, and records
     that match nothing are clusters of one. Labels spread by repeated minima over the edges, with
     pointer jumping, so a large cluster needs few rounds and no single task."""
-    from ..plans.storage import checkpoint
-
     edges = matching_pairs(records, block, similarity, threshold, key, text)
-    edges = checkpoint(edges.union(edges.select("b", "a")).distinct())
-    labels = checkpoint(records.select(F.col(key).alias("id")).where("id is not null").distinct().withColumn("c", F.col("id")))
+    edges = keep(edges.union(edges.select("b", "a")).distinct())
+    labels = keep(records.select(F.col(key).alias("id")).where("id is not null").distinct().withColumn("c", F.col("id")))
     while True:
         near = edges.join(labels.select(F.col("id").alias("b"), "c"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
         low = labels.join(near, "id", "left").select("id", "c", F.least("c", F.coalesce("m", "c")).alias("n"))
-        low = checkpoint(low)
+        low = keep(low)
         jumped = low.join(low.select(F.col("id").alias("n"), F.col("n").alias("nn")), "n").select("id", "c", F.least("n", "nn").alias("new"))
-        after = checkpoint(jumped)
+        after = keep(jumped)
         if not after.where("new < c").limit(1).count():
             return after.select("id", F.col("new").alias("cluster_id"))
         labels = after.select("id", F.col("new").alias("c"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..plans.storage import running_sum
+
 ZERO_DIVISION = ("zero", "one", "nan", "throw")
 
 
@@ -168,11 +170,10 @@ def report_text(rep: DataFrame, digits: int = 2, names: list[str] | None = None,
 
 def _auc(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, auc, pos, neg) from rows (keys, positive, score, w): equal scores are one step of
-    the curve, areas are trapezoids. Rows are first summed by score, so the window sees distinct
-    scores only."""
+    the curve, areas are trapezoids. Rows are first summed by score, and ranges of scores are
+    summed apart."""
     groups = rows.groupBy(*keys, "score").agg(F.sum(F.when(F.col("positive"), F.col("w")).otherwise(0.0)).alias("p"), F.sum(F.when(F.col("positive"), 0.0).otherwise(F.col("w"))).alias("f"))
-    order = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    steps = groups.withColumn("tp", F.sum("p").over(order))
+    steps = running_sum(groups, keys, F.desc("score"), "p", "tp")
     area = F.sum(F.col("f") * (2 * F.col("tp") - F.col("p")) / 2)
     return steps.groupBy(*keys).agg(area.alias("area"), F.sum("p").alias("pos"), F.sum("f").alias("neg")).select(*keys, (F.col("area") / F.nullif(F.col("pos") * F.col("neg"), F.lit(0.0))).alias("auc"), "pos", "neg")
 

@@ -8,9 +8,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions import text as T
-from ..functions.pairs import murmur3
+from ..functions.pairs import hashed_cells
+from ..plans.storage import keep, number
 
 
 @dataclass(frozen=True)
@@ -118,7 +120,7 @@ class CountVectorizer:
 
     def fit_transform(self, docs: DataFrame) -> DataFrame:
         """(id, term, col, value), with the terms counted once."""
-        counts = self.counts(docs)
+        counts = keep(self.counts(docs))
         return self._join(counts, self._vocabulary(docs, counts))
 
     def transform(self, docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -129,19 +131,6 @@ class CountVectorizer:
         return counts.join(vocabulary, "term").select(self.id_col, "term", "col", F.col("tf").alias("value"))
 
 
-def number(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Numbers rows 0, 1, ... in the order of key without one task holding them all: rows are
-    ranked within a prefix bucket, and the buckets' offsets are a small table."""
-    bucket = F.substring(F.hex(F.encode(F.substring(key, 1, 3), "UTF-8")), 1, 4)
-    rows = df.withColumn("_b", bucket)
-    sizes = rows.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    rank = F.row_number().over(W.partitionBy("_b").orderBy(key)) - 1
-    # prefixes of two bytes: at most 65,536 offsets
-    return rows.withColumn("_r", rank).join(F.broadcast(offsets), "_b").withColumn(name, F.col("_off") + F.col("_r")).drop("_b", "_r", "_off")
-
-
 def idf(df: Column, n: Column, smooth: bool = True) -> Column:
     s = 1 if smooth else 0
     return F.log((n + s) / (df + s)) + 1
@@ -166,16 +155,42 @@ class TfidfVectorizer:
         return vocabulary.withColumn("idf", weight)
 
     def fit_transform(self, docs: DataFrame) -> DataFrame:
-        counts = self._count.counts(docs)
+        counts = keep(self._count.counts(docs))
         return self._weigh(counts, self._weighted(self._count._vocabulary(docs, counts)))
 
     def transform(self, docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
         return self._weigh(self._count.counts(docs), vocabulary)
 
     def _weigh(self, counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
-        tf = F.log("tf") + 1 if self.options.sublinear_tf else F.col("tf")
-        cells = counts.join(vocabulary, "term").select(self.id_col, "term", "col", (tf * F.col("idf")).alias("value"))
-        return normalize_rows(cells, self.id_col, self.options.norm)
+        cells = counts.join(vocabulary.select("term", "col", "idf"), "term")
+        return normalize_rows(cells.select(self.id_col, "term", "col", self._value().alias("value")), self.id_col, self.options.norm)
+
+    def _value(self) -> Column:
+        return (F.log("tf") + 1 if self.options.sublinear_tf else F.col("tf")) * F.col("idf")
+
+
+@dataclass(frozen=True)
+class TfidfTransformer:
+    """TF-IDF of a given count matrix (id, col, value) of `width` columns; options.count is unused."""
+
+    options: TfidfOptions = field(default_factory=TfidfOptions)
+    id_col: str = "doc_id"
+
+    def fit(self, matrix: DataFrame, documents: int) -> DataFrame:
+        """(col, df, idf) of the columns that occur. documents: the rows of the matrix, those without a
+        cell included."""
+        o = self.options
+        df = matrix.where("value <> 0").groupBy("col").agg(F.count("*").alias("df"))
+        return df.withColumn("idf", idf(F.col("df"), F.lit(documents), o.smooth_idf) if o.use_idf else F.lit(1.0))
+
+    def transform(self, matrix: DataFrame, weights: DataFrame, width: int, fitted_width: int) -> DataFrame:
+        """(id, col, value). Fails if the matrix hasn't as many columns as the fitted one; a column that
+        never occurred there weighs as with df 0 where idf is smooth, else its cells are left out."""
+        if width != fitted_width:
+            raise ValueError(f"the matrix has {width} columns, the fitted one {fitted_width}")
+        tf = F.log("value") + 1 if self.options.sublinear_tf else F.col("value")
+        cells = matrix.where("value <> 0").join(weights.select("col", "idf"), "col")
+        return normalize_rows(cells.select(self.id_col, "col", (tf * F.col("idf")).alias("value")), self.id_col, self.options.norm)
 
 
 @dataclass(frozen=True)
@@ -187,17 +202,14 @@ class HashingVectorizer:
     text_col: str = "text"
 
     def hashed(self, docs: DataFrame) -> DataFrame:
-        """(id, col, sign) of every term."""
+        """(id, col, n) of every row: the signed counts of its terms, summed within the row, so that only
+        cells are shuffled. A term is hashed once a batch."""
         o = self.options
-        terms = docs.select(self.id_col, F.explode(o.count.terms(self.text_col)).alias("term"))
-        h = terms.withColumn("h", murmur3()(F.col("term")).cast("long"))
-        sign = F.when((F.col("h") < 0) & F.lit(o.alternate_sign), -1.0).otherwise(1.0)
-        return h.select(self.id_col, "term", F.pmod(F.abs("h"), F.lit(o.n_features)).alias("col"), sign.alias("sign"))
+        rows = docs.select(self.id_col, o.count.terms(self.text_col).alias("terms"))
+        schema = StructType([rows.schema[0], StructField("col", LongType()), StructField("n", DoubleType())])
+        return rows.mapInArrow(hashed_cells(self.id_col, o.n_features, o.alternate_sign, o.count.binary), schema)
 
     def transform(self, docs: DataFrame) -> DataFrame:
-        """(id, col, value); cells that cancel to 0 are left out."""
-        terms = self.hashed(docs)
-        if self.options.count.binary:
-            terms = terms.distinct()
-        cells = terms.groupBy(self.id_col, "col").agg(F.sum("sign").alias("value")).where("value <> 0")
+        """(id, col, value); cells that cancel to 0 are left out. Rows with one id are summed."""
+        cells = self.hashed(docs).groupBy(self.id_col, "col").agg(F.sum("n").alias("value")).where("value <> 0")
         return normalize_rows(cells, self.id_col, self.options.norm)

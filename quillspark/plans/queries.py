@@ -11,6 +11,7 @@ from ..functions import stopwords
 from ..functions import subword
 from ..functions import text as T
 from ..operators import fuzzy, metrics, vectors
+from .storage import keep, number, shared_dir, spread
 from ..operators.vectorize import CountOptions, CountVectorizer, HashingVectorizer, HashOptions, TfidfOptions, TfidfVectorizer
 
 QUERIES: dict = {}
@@ -21,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids and texts of documents, on all cores."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def query(sql: str | None = None, name: str | None = None):
     def keep(f):
         key = name or f.__name__
@@ -56,7 +62,7 @@ def _count_sql(value: str = "tf.tf", where: str = "true", stop: str = "") -> str
 
 
 def _counts(spark, sf_dir, **options):
-    return CountVectorizer(CountOptions(**options)).fit_transform(table(spark, sf_dir, "documents"))
+    return CountVectorizer(CountOptions(**options)).fit_transform(texts(spark, sf_dir))
 
 
 @query(_count_sql())
@@ -89,11 +95,8 @@ select term, row_number() over (order by encode(term)) - 1 as col, count(*) as d
 
 def _gram_vocabulary(spark, sf_dir, options):
     """Vocabularies of the gram analyzers, with total counts."""
-    docs = table(spark, sf_dir, "documents")
-    counts = CountVectorizer(options).counts(docs)
+    counts = CountVectorizer(options).counts(texts(spark, sf_dir))
     v = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("bigint").alias("total"))
-    from ..operators.vectorize import number
-
     return number(v, "term", "col").select("term", "col", "df", "total")
 
 
@@ -126,7 +129,7 @@ select doc_id, term, round(v / {norm}, 6) as value from x"""
 
 
 def _tfidf(spark, sf_dir, **options):
-    out = TfidfVectorizer(TfidfOptions(**options)).fit_transform(table(spark, sf_dir, "documents"))
+    out = TfidfVectorizer(TfidfOptions(**options)).fit_transform(texts(spark, sf_dir))
     return out.select("doc_id", "term", r6("value"))
 
 
@@ -170,9 +173,9 @@ k as (select *, row_number() over (partition by item_id order by score desc, doc
 select item_id, doc_id, score, cast(rank as integer) as rank from k where rank <= 5""")
 def doc_cosine_topk(spark, sf_dir):
     """Each benchmark item's five most similar documents: matrix products as joins on terms."""
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    docs, items = texts(spark, sf_dir), table(spark, sf_dir, "benchmark")
     v = TfidfVectorizer()
-    vocabulary = v.fit(docs)
+    vocabulary = keep(v.fit(docs))
     left = v.transform(docs, vocabulary).select("doc_id", "term", "value")
     right = TfidfVectorizer(id_col="item_id").transform(items, vocabulary).select("item_id", "term", F.col("value").alias("u"))
     s = left.join(right, "term").groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("value") * F.col("u")), 6).alias("score"))
@@ -193,19 +196,39 @@ def matrix_vector_product(spark, sf_dir):
     from ..operators.vectorize import multiply
 
     v = CountVectorizer()
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     vocabulary = v.fit(docs)
     weights = vocabulary.select("col", (1.0 / (1 + F.col("df"))).alias("weight"))
     return multiply(v.transform(docs, vocabulary), weights, "doc_id").select("doc_id", r6("product"))
 
 
-@query()
+_HASHED = """
+with recursive tok as (select doc_id, unnest({tokens}) as term from documents where text is not null),
+w as (select term, hex(encode(term)) as b from (select distinct term from tok)),
+ks as (select term, b, list_transform(range(0, (length(b) + 7) // 8), lambda i: list_reduce(list_transform(range(0, 4), lambda j:
+  case when 8 * i + 2 * j < length(b) then ('0x' || substr(b, 8 * i + 2 * j + 1, 2))::bigint * (1 << (8 * j)) else 0 end), lambda x, y: x + y)) as ks from w),
+sc as (select term, b, list_transform(list_transform(list_transform(ks, lambda k: (k::hugeint * 3432918353 % 4294967296)::bigint),
+  lambda k: ((k << 15) & 4294967295) | (k >> 17)), lambda k: (k::hugeint * 461845907 % 4294967296)::bigint) as ks from ks),
+hs as (select term, b, list_reduce(list_transform(range(1, len(ks) + 1), lambda i: case when 8 * i <= length(b) then ks[i] else -1 - ks[i] end), lambda h, k:
+  case when k >= 0 then (((((xor(h, k) << 13) & 4294967295) | (xor(h, k) >> 19)) * 5 + 3864292196) & 4294967295) else xor(h, -1 - k) end, 0::bigint) as h from sc),
+f0 as (select term, xor(h, length(b) // 2) as h from hs),
+f1 as (select term, (xor(h, h >> 16)::hugeint * 2246822507 % 4294967296)::bigint as h from f0),
+f2 as (select term, (xor(h, h >> 13)::hugeint * 3266489909 % 4294967296)::bigint as h from f1),
+f3 as (select term, xor(h, h >> 16) as h from f2),
+f4 as (select term, case when h >= 2147483648 then h - 4294967296 else h end as h from f3),
+cell as (select doc_id, abs(h) % 262144 as col, sum(case when h < 0 then -1.0::double else 1.0::double end) as v from tok join f4 using (term) group by all having v <> 0),
+vec as (select doc_id, col, v / sqrt(sum(v * v) over (partition by doc_id)) as value, v from cell)
+"""
+
+
+@query(_HASHED.format(tokens=_TOKENS) + "select doc_id, col, round(value, 6) as value from vec")
 def hashing_vectorizer(spark, sf_dir):
-    out = HashingVectorizer(HashOptions(n_features=1 << 18)).transform(table(spark, sf_dir, "documents"))
+    out = HashingVectorizer(HashOptions(n_features=1 << 18)).transform(texts(spark, sf_dir))
     return out.select("doc_id", "col", r6("value"))
 
 
-@query()
+@query(_HASHED.format(tokens=_TOKENS) + """select d.doc_id, coalesce(n, 0)::int as cells, coalesce(l1, 0) as l1 from documents d
+left join (select doc_id, count(*) as n, round(sum(abs(value)), 6) as l1 from vec group by doc_id) using (doc_id)""")
 def stream_hashing(spark, sf_dir):
     """hash_stream() over documents as a stream, run to its end through the memory sink."""
     import uuid

@@ -198,6 +198,7 @@ def wratio(a: str, b: str) -> float:
 
 # Rules in order of trial at each place: a pattern over the prepared word, and its code
 # ("=" stands for the matched text).
+# The published rules, in their order.
 _METAPHONE = [
     ("^[AEIOU]", "="), ("[AEIOU]", ""), ("(?<=M)B$", ""), ("B", "B"),
     ("C(?=H|IA)", "X"), ("C(?=[IEY])", "S"), ("C", "K"), ("DG(?=[IEY])", "J"), ("D", "T"),
@@ -207,6 +208,7 @@ _METAPHONE = [
     ("T(?=I[OA])", "X"), ("T(?=H)", "0"), ("T", "T"), ("V", "F"), ("[WY](?=[AEIOU])", "="),
     ("^X", "S"), ("X", "KS"), ("Z", "S"), ("[FJLMNR]", "="), (".", ""),
 ]
+# The published rules, in their order.
 _NYSIIS = [
     ("EV", "AF"), ("[AEIOU]", "A"), ("Q", "G"), ("Z", "S"), ("M", "N"), ("K(?=N)", "N"), ("K", "C"),
     ("SCH", "SSS"), ("PH", "FF"), ("(?<=[AEIOU])H(?=[AEIOU])", "H"), ("(?<=[AEIOU])H", "A"),

@@ -12,7 +12,8 @@ from ..functions import subword
 from ..functions import text as T
 from ..operators import fuzzy, metrics, vectors
 from .storage import keep, number, shared_dir, spread
-from ..operators.vectorize import CountOptions, CountVectorizer, HashingVectorizer, HashOptions, TfidfOptions, TfidfVectorizer
+from ..operators.vectorize import CountOptions, CountVectorizer, HashingVectorizer, HashOptions, TfidfOptions, TfidfTransformer, TfidfVectorizer, to_dense
+from ..sources import artifacts, vocab
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -249,6 +250,120 @@ def strip_accents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.prepare("text", accents=True).alias("text"))
 
 
+# ---------------------------------------------------------------- saved and loaded again
+
+
+def _place(spark) -> str:
+    import uuid
+
+    return f"{shared_dir(spark)}/quillspark-{uuid.uuid4().hex}"
+
+
+@query(_count_sql())
+def saved_count(spark, sf_dir):
+    """A count vectorizer and its vocabulary, saved, loaded and applied."""
+    v, docs, path = CountVectorizer(), texts(spark, sf_dir), _place(spark)
+    artifacts.save_count(v, v.fit(docs), path)
+    loaded, vocabulary = artifacts.load_count(spark, path)
+    return loaded.transform(docs, vocabulary)
+
+
+@query(_tfidf_sql(tf="ln(tf.tf) + 1"))
+def saved_tfidf(spark, sf_dir):
+    v, docs, path = TfidfVectorizer(TfidfOptions(sublinear_tf=True)), texts(spark, sf_dir), _place(spark)
+    artifacts.save_tfidf(v, v.fit(docs), path)
+    loaded, vocabulary = artifacts.load_tfidf(spark, path)
+    return loaded.transform(docs, vocabulary).select("doc_id", "term", r6("value"))
+
+
+@query(_HASHED.format(tokens=_TOKENS) + "select doc_id, col, round(v, 6) as value from vec")
+def saved_hashing(spark, sf_dir):
+    path = _place(spark)
+    artifacts.save_hashing(spark, HashingVectorizer(HashOptions(n_features=1 << 18, norm=None)), path)
+    return artifacts.load_hashing(spark, path).transform(texts(spark, sf_dir)).select("doc_id", "col", r6("value"))
+
+
+_PART_WORDS = "select distinct unnest(string_split(lower(p_name), ' ')) as token from part"
+
+
+def _part_words(spark, sf_dir):
+    """The words of part names in order; they come to the driver, as a vocabulary file's lines do."""
+    return table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("token")).distinct().orderBy("token")
+
+
+def _write_line(spark, line: str) -> str:
+    path = _place(spark)
+    spark.createDataFrame([(line,)], "value string").coalesce(1).write.text(path)
+    return path
+
+
+@query(f"select token, row_number() over (order by encode(token)) as id from ({_PART_WORDS}) union all select '[UNK]', 0")
+def vocab_txt(spark, sf_dir):
+    """A vocabulary written as a text file and loaded."""
+    path = _write_line(spark, "\n".join(["[UNK]", *(r.token for r in _part_words(spark, sf_dir).collect())]))
+    return spark.createDataFrame(list(vocab.vocab_txt(spark, path).vocab.items()), "token string, id long")
+
+
+@query(f"select token, row_number() over (order by encode(token)) as id from ({_PART_WORDS}) union all select '[UNK]', 0")
+def wordpiece_json(spark, sf_dir):
+    """A word-piece tokenizer.json written and loaded."""
+    import json
+
+    ids = {t: i for i, t in enumerate(["[UNK]", *(r.token for r in _part_words(spark, sf_dir).collect())])}
+    model = {"type": "WordPiece", "unk_token": "[UNK]", "continuing_subword_prefix": "##", "max_input_chars_per_word": 100, "vocab": ids}
+    path = _write_line(spark, json.dumps({"pre_tokenizer": {"type": "Whitespace"}, "model": model}))
+    return spark.createDataFrame(list(vocab.wordpiece_json(spark, path).vocab.items()), "token string, id long")
+
+
+@query(f"""with c as (select token, row_number() over (order by encode(token)) as id from ({_PART_WORDS}))
+select chr(9601) || token as piece, -id::double as score, id from c union all select '<unk>', 0, 0""")
+def unigram_json(spark, sf_dir):
+    """A unigram tokenizer.json written and loaded."""
+    import json
+
+    rows = [["<unk>", 0.0], *([subword.META + r.token, -float(i)] for i, r in enumerate(_part_words(spark, sf_dir).collect(), 1))]
+    spec = {"pre_tokenizer": {"type": "Metaspace", "replacement": subword.META, "prepend_scheme": "always"}, "model": {"type": "Unigram", "unk_id": 0, "vocab": rows}}
+    pieces = vocab.unigram_json(spark, _write_line(spark, json.dumps(spec))).pieces
+    return spark.createDataFrame([(p, s, i) for i, (p, s, _) in enumerate(pieces)], "piece string, score double, id long")
+
+
+@query(_tfidf_sql().replace("tf.doc_id, tf.term, (", "tf.doc_id, voc.col, (").replace("select doc_id, term, round", "select doc_id, col, round"))
+def tfidf_transformer(spark, sf_dir):
+    """TF-IDF of a given count matrix."""
+    docs = texts(spark, sf_dir)
+    matrix = keep(CountVectorizer().fit_transform(docs).select("doc_id", "col", "value"))
+    n, width = docs.where("text is not null").count(), matrix.agg(F.max("col")).first()[0] + 1
+    t = TfidfTransformer()
+    return t.transform(matrix, t.fit(matrix, n), width, width).select("doc_id", "col", r6("value"))
+
+
+@query(f"""{_TF}, c as (select doc_id, length(term) % 16 as col, sum(tf) as value from tf group by all)
+select doc_id, list_transform(range(0, 16), lambda j: coalesce(list_extract(map_extract(m, j), 1), 0)) as values
+from (select doc_id, map(list(col), list(value)) as m from c group by doc_id)""")
+def dense_rows(spark, sf_dir):
+    """How many tokens of each length modulo 16 a text has, as one array a row."""
+    counts = CountVectorizer().counts(texts(spark, sf_dir))
+    cells = counts.groupBy("doc_id", (F.length("term") % 16).cast("long").alias("col")).agg(F.sum("tf").alias("value"))
+    return to_dense(cells, "doc_id", 16)
+
+
+@query(f"{_TF} select tok.doc_id, term, col, count(*) as n from tok join voc using (term) group by all")
+def count_streaming(spark, sf_dir):
+    """count_stream() over documents as a stream, run to its end through the memory sink."""
+    import uuid
+
+    from ..streaming.vectorize import count_stream
+
+    schema = table(spark, sf_dir, "documents").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    name = f"counted_{uuid.uuid4().hex}"
+    found = count_stream(source, keep(CountVectorizer().fit(texts(spark, sf_dir))))
+    q = found.writeStream.format("memory").queryName(name).outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    return spark.table(name).groupBy("doc_id", "term", "col").agg(F.count("*").alias("n"))
+
+
 # ---------------------------------------------------------------- metrics
 
 _LABELLED = "select l.quality as y_true, case when d.n_chars >= 1500 then 1 else 0 end as y_pred, floor(d.n_chars / 200) as score, 1 + d.doc_id % 3 as w from labels l join documents d using (doc_id) where l.quality is not null"
@@ -360,7 +475,42 @@ def classification_report(spark, sf_dir):
     return out.select("section", "name", r6("precision"), r6("recall"), r6("f1"), "support")
 
 
-@query()
+_PARTIAL = f"""with x as ({_LABELLED}), l as (select unnest([0, 1, 9]) as l),
+k as (select l, (select count(*) from x where y_true = l and y_pred = l)::double as tp, (select count(*) from x where y_pred = l)::double as pred, (select count(*) from x where y_true = l)::double as support from l)
+"""
+
+
+@query(_PARTIAL + "select l as label, round(case when pred = 0 then 1 else tp / pred end, 6) as precision, round(case when support = 0 then 1 else tp / support end, 6) as recall, round(case when pred + support = 0 then 1 else 2 * tp / (pred + support) end, 6) as fbeta, support from k")
+def prf_undefined_is_one(spark, sf_dir):
+    out = metrics.per_class(metrics.confusion(_labelled(spark, sf_dir), labels=[0, 1, 9]), zero_division="one")
+    return out.select("label", r6("precision"), r6("recall"), r6("fbeta"), "support")
+
+
+@query(_PARTIAL + "select l as label, pred = 0 as precision, support = 0 as recall, pred + support = 0 as fbeta from k")
+def prf_undefined_is_nan(spark, sf_dir):
+    out = metrics.per_class(metrics.confusion(_labelled(spark, sf_dir), labels=[0, 1, 9]), zero_division="nan")
+    return out.select("label", *[F.isnan(c).alias(c) for c in ("precision", "recall", "fbeta")])
+
+
+@query(f"""{_PER_CLASS}, y as (select * from z where l in (0, 2, 5))
+select 0 as section, l::varchar as name, round(p, 6) as precision, round(r, 6) as recall, round(f, 6) as f1, support from y
+union all select 1, 'micro avg', round(sum(tp) / sum(pred), 6), round(sum(tp) / sum(support), 6), round(2 * sum(tp) / sum(pred + support), 6), sum(support) from y
+union all select 2, 'macro avg', round(avg(p), 6), round(avg(r), 6), round(avg(f), 6), sum(support) from y
+union all select 3, 'weighted avg', round(sum(p * support) / sum(support), 6), round(sum(r * support) / sum(support), 6), round(sum(f * support) / sum(support), 6), sum(support) from y""")
+def classification_report_subset(spark, sf_dir):
+    out = metrics.report(metrics.confusion(_classes(spark, sf_dir), labels=[0, 2, 5]))
+    return out.select("section", "name", r6("precision"), r6("recall"), r6("f1"), "support")
+
+
+_LINE = "printf('%12s', {n}) || ' ' || {m} || printf(' %9.2f', {f}) || printf(' %9d', {s}::bigint)"
+_THREE = "printf(' %9.2f %9.2f', {p}, {r})"
+
+
+@query(_PER_CLASS + f"""select repeat(' ', 12) || ' ' || ' precision    recall  f1-score   support' || chr(10) || chr(10)
+|| (select string_agg({_LINE.format(n="l::varchar", m=_THREE.format(p="p", r="r"), f="f", s="support")}, chr(10) order by l) from z) || chr(10) || chr(10)
+|| (select {_LINE.format(n="'accuracy'", m="repeat(' ', 20)", f="sum(tp) / sum(support)", s="sum(support)")} || chr(10)
+|| {_LINE.format(n="'macro avg'", m=_THREE.format(p="avg(p)", r="avg(r)"), f="avg(f)", s="sum(support)")} || chr(10)
+|| {_LINE.format(n="'weighted avg'", m=_THREE.format(p="sum(p * support) / sum(support)", r="sum(r * support) / sum(support)"), f="sum(f * support) / sum(support)", s="sum(support)")} || chr(10) from z) as text""")
 def classification_report_text(spark, sf_dir):
     text = metrics.report_text(metrics.report(metrics.confusion(_classes(spark, sf_dir))))
     return spark.createDataFrame([(text,)], "text string")
@@ -417,6 +567,17 @@ def roc_auc_ovo(spark, sf_dir):
     return metrics.roc_auc_multiclass(rows, "label", "scores", labels, "ovo").select(r6("auc"))
 
 
+@query(f"""{_CLASSES}, l as (select distinct label as b from p),
+o as (select a.c as a, l.b, round(a.p, 12) as score, (a.label = a.c)::int as pos from p a, l where l.b <> a.c and a.label in (a.c, l.b)),
+g as (select a, b, score, sum(pos)::double as pos, sum(1 - pos)::double as neg from o group by all),
+h as (select *, sum(pos) over (partition by a, b order by score desc) as tp from g),
+u as (select a, b, sum(neg * (2 * tp - pos) / 2) / (sum(pos) * sum(neg)) as auc, sum(pos) + sum(neg) as n from h group by a, b)
+select round(sum(auc * n) / sum(n), 6) as auc from u""")
+def roc_auc_ovo_weighted(spark, sf_dir):
+    rows, labels = _score_rows(spark, sf_dir)
+    return metrics.roc_auc_multiclass(rows, "label", "scores", labels, "ovo", "weighted").select(r6("auc"))
+
+
 # ---------------------------------------------------------------- pairs of texts
 
 _PAIRS = "select p_partkey as id, p_name as a, lower(p_type) || substr(p_name, 1, p_size % 7) as b from part"
@@ -456,8 +617,10 @@ _pair_query("damerau", lambda: _distance("damerau")("a", "b"), "damerau_levensht
 _pair_query("damerau_similarity", lambda: r6(T.normalized_similarity(_distance("damerau")("a", "b"), "a", "b")), f"round(1 - damerau_levenshtein(a, b) / {_LONGER}, 6)")
 _pair_query("jaro", lambda: r6(_distance("jaro")("a", "b")), "round(jaro_similarity(a, b), 6)")
 _pair_query("jaro_winkler", lambda: r6(_distance("jaro_winkler")("a", "b")), "round(jaro_winkler_similarity(a, b), 6)")
+_PREFIX = "list_max(list_transform(range(0, 5), lambda i: case when length(a) >= i and substr(a, 1, i) = substr(b, 1, i) then i else 0 end))"
+_pair_query("jaro_winkler_weight", lambda: r6(P.jaro_winkler(0.2)("a", "b")), f"round(case when jaro_similarity(a, b) <= 0.7 then jaro_similarity(a, b) else jaro_similarity(a, b) + {_PREFIX} * 0.2 * (1 - jaro_similarity(a, b)) end, 6)")
 _pair_query("ratcliff", lambda: r6(_distance("ratcliff")("a", "b")))
-_pair_query("osa", lambda: _distance("osa")("a", "b"))
+_pair_query("levenshtein_normalized", lambda: r6(T.normalized_distance(T.levenshtein("a", "b"), "a", "b")), f"round(levenshtein(a, b) / {_LONGER}, 6)")
 
 # Rows of the dynamic programme as a recursive query over the places of a, on distinct pairs.
 _LCS = f"""
@@ -473,6 +636,22 @@ dp(a, b, i, r) as (
 """
 
 
+_OSA = f"""
+with recursive x as ({_PAIRS}), d as (select distinct a, b from x),
+dp(a, b, i, r, q) as (
+  select a, b, 0, list_transform(range(0, length(b) + 1), lambda j: j::bigint), null::bigint[] from d
+  union all
+  select a, b, i + 1, list_reduce(
+    list_transform(range(1, length(b) + 1), lambda j: [least(r[j + 1] + 1, r[j] + case when substr(b, j, 1) = substr(a, i + 1, 1) then 0 else 1 end,
+      case when i > 0 and j > 1 and substr(a, i + 1, 1) = substr(b, j - 1, 1) and substr(a, i, 1) = substr(b, j, 1) then q[j - 1] + 1 else 1000000 end)]),
+    lambda l, y: list_append(l, least(l[len(l)] + 1, y[1])), [(i + 1)::bigint]), r
+  from dp where i < length(a)
+), f as (select a, b, r[len(r)] as l from dp where i = length(a))
+"""
+query(f"{_OSA} select id, l::int as value from x join f using (a, b)", "osa")(lambda spark, sf_dir: _pairs(spark, sf_dir).select("id", _distance("osa")("a", "b").alias("value")))
+query(f"{_OSA} select id, round(1 - l / {_LONGER}, 6) as value from x join f using (a, b)", "osa_similarity")(lambda spark, sf_dir: _pairs(spark, sf_dir).select("id", r6(T.normalized_similarity(_distance("osa")("a", "b"), "a", "b"), "value")))
+
+
 def _lcs_query(name, column, sql):
     def run(spark, sf_dir):
         return _pairs(spark, sf_dir).select("id", column().alias("value"))
@@ -523,6 +702,17 @@ def process_extract(spark, sf_dir):
     return fuzzy.extract(queries, choices, lambda a, b: F.round(_distance("jaro_winkler")(a, b) * 100, 6), 5, 40.0)
 
 
+@query("""with q as (select distinct lower(p_type) as query from part where p_type is not null), c as (select distinct p_name as choice from part where p_name is not null),
+s as (select query, choice, round(jaro_winkler_similarity(query, choice) * 100, 6) as score from q cross join c),
+k as (select query, choice, p_partkey as index, score, row_number() over (partition by query order by score desc, p_partkey) as rank from s join part on p_name = choice where score >= 40)
+select query, choice, index, score from k where rank = 1""")
+def extract_one_by(spark, sf_dir):
+    """The best part name of every type name, by a scorer that the caller brings."""
+    part = table(spark, sf_dir, "part")
+    choices = part.select(F.col("p_name").alias("choice"), F.col("p_partkey").alias("index"))
+    return fuzzy.extract_one(part.select(F.lower("p_type").alias("query")), choices, lambda a, b: F.round(_distance("jaro_winkler")(a, b) * 100, 6), 40.0)
+
+
 @query()
 def extract_one(spark, sf_dir):
     part = table(spark, sf_dir, "part")
@@ -547,10 +737,9 @@ def dedup_clusters(spark, sf_dir):
 _DIGITS = "translate(upper(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230120022455012623010202')"
 
 
-def _words(spark, sf_dir, lang: str | None = None):
-    docs = table(spark, sf_dir, "documents")
-    docs = docs.where(F.col("lang") == lang) if lang else docs
-    return docs.select(F.explode(T.word_tokens(F.lower("text"))).alias("word")).distinct()
+def _words(spark, sf_dir):
+    """The distinct words of all documents."""
+    return texts(spark, sf_dir).select(F.explode(T.word_tokens(F.lower("text"))).alias("word")).distinct()
 
 
 @query(f"""with t as (select distinct unnest({_TOKENS}) as word from documents), l as (select word, regexp_replace(upper(word), '[^A-Z]', '', 'g') as w from t),
@@ -562,15 +751,14 @@ def soundex(spark, sf_dir):
     return _words(spark, sf_dir).select("word", T.soundex("word").alias("code"))
 
 
-def _word_query(name, column, lang=None):
-    query(None, name)(lambda spark, sf_dir: _words(spark, sf_dir, lang).select("word", column().alias("code")))
+def _word_query(name, column):
+    query(None, name)(lambda spark, sf_dir: _words(spark, sf_dir).select("word", column().alias("code")))
 
 
 for _name in ("metaphone", "nysiis"):
     _word_query(_name, lambda n=_name: P.phonetic_functions()[n]("word"))
 for _lang in ("porter", "en", "fr", "de", "es", "it", "pt"):
-    _spoken = {"porter": "en", "it": None, "pt": None}.get(_lang, _lang)
-    _word_query("porter" if _lang == "porter" else f"snowball_{_lang}", lambda g=_lang: P.stemmer(g)("word"), _spoken)
+    _word_query("porter" if _lang == "porter" else f"snowball_{_lang}", lambda g=_lang: P.stemmer(g)("word"))
 
 
 # ---------------------------------------------------------------- vectors and sub-words
@@ -592,6 +780,15 @@ def knn_topk(spark, sf_dir):
     return hits.select("query_id", "id", r6("score"), "rank")
 
 
+@query(SQL["knn_topk"])
+def saved_index(spark, sf_dir):
+    """The index saved, loaded and searched."""
+    e, path = table(spark, sf_dir, "embeddings"), _place(spark)
+    artifacts.save_index(vectors.VectorIndex.build(e, 64), path)
+    hits = artifacts.load_index(spark, path).search(e.where("vec_id % 20 = 0"), 10)
+    return hits.select("query_id", "id", r6("score"), "rank")
+
+
 @query("""with e as (select label, vec_id % 50 as g, vec_id % 3 as m, i, embedding[i]::double as x from embeddings, range(1, 65) t(i)),
 p as (select label, g, i, coalesce(sum(x) filter (where m <> 0), 0) / greatest(count(*) filter (where m <> 0), 1e-9) as x from e group by all),
 n as (select *, sqrt(sum(x * x) over (partition by label, g)) as n from p)

@@ -58,7 +58,7 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", sites: int = SITES
     cols = docs.columns
     few = hits.agg(F.count("*"), F.sum(F.size("gone"))).first()
     hits = hits.select(*[F.col(c).alias(f"_qs_{c}") for c in ("k1", "k2", "gone")])
-    if few[0] <= BROADCAST_ROWS and (few[1] or 0) <= 16 * BROADCAST_ROWS:  # 48 MB at most
+    if few[0] <= BROADCAST_ROWS and (few[1] or 0) <= 16 * BROADCAST_ROWS:  # about 60 MB at most
         hits = F.broadcast(hits)
     keyed = docs.withColumn("_qs_id", F.col("doc_id").cast("long"))
     keyed = keyed.withColumns({f"_qs_k{i}": F.xxhash64(F.lit(i), "_qs_id", "text") for i in (1, 2)}).drop("_qs_id")

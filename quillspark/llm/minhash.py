@@ -251,7 +251,8 @@ def resolve(docs: DataFrame, scratch: C.Scratch, k: int, percent: int, permutati
         .withColumn("id", F.monotonically_increasing_id())  # final once written
     )
     reps = scratch.keep(
-        per_doc.join(classes, CLASS).where("doc_id = rep").dropDuplicates(CLASS)  # by the join's keys, so without a shuffle
+        per_doc.join(classes.withColumnRenamed("rep", "doc_id"), [*CLASS, "doc_id"])  # with the id, as a class may hold most rows
+        .dropDuplicates([*CLASS, "doc_id"])  # by the join's keys, so without a shuffle
         .select("id", F.col("n_shingles").alias("n"), "keys", "compact")
     )
     entries = reps.select("id", "n", F.posexplode("keys").alias("band", "key"))

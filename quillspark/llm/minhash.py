@@ -243,8 +243,9 @@ def block_edges(members: DataFrame, percent: int, values: int) -> DataFrame:
 
 
 def resolve(docs: DataFrame, scratch: C.Scratch, k: int, percent: int, permutations: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
-    """Two stored tables: a row per document (doc_id, k1, k2 and its class), and the linked classes
-    (n_shingles, f1, f2, component_id, first: whether it is the class that stands for its component)."""
+    """Two stored tables: a row per document (doc_id, k1, k2 and its class), and all classes
+    (n_shingles, f1, f2, rep; of linked ones component_id, and first: whether it is the class that
+    stands for its component)."""
     per_doc = scratch.keep(sketches(docs, k, permutations, bands, rows))
     classes = scratch.keep(
         per_doc.where("n_shingles > 0 and doc_id is not null").groupBy(*CLASS).agg(F.min("doc_id").alias("rep"))
@@ -284,10 +285,11 @@ def resolve(docs: DataFrame, scratch: C.Scratch, k: int, percent: int, permutati
     linked = classes.join(comp.union(comp.select("component", "component").distinct()), "id")
     named = linked.groupBy("component").agg(F.min(F.struct("rep", "id")).alias("first"))
     linked = linked.join(named, "component").select(*CLASS, F.col("first.rep").alias("component_id"), (F.col("id") == F.col("first.id")).alias("first"))
-    linked = scratch.keep(linked)
-    for t in (reps, buckets, in_buckets, stars, sets, edges, members, comp):
+    # stored, as adaptive execution splits a hot class only in a join of two plain exchanges
+    named = scratch.keep(classes.select(*CLASS, "rep").join(linked, CLASS, "left"))
+    for t in (classes, reps, buckets, in_buckets, stars, sets, edges, members, comp):
         scratch.drop(t)
-    return per_doc.select("doc_id", "k1", "k2", *CLASS), classes.select(*CLASS, "rep").join(linked, CLASS, "left")
+    return per_doc.select("doc_id", "k1", "k2", *CLASS), named
 
 
 def near_duplicates(

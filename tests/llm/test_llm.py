@@ -725,6 +725,27 @@ def test_near_duplicates_odd_rows(odd, none):
     assert minhash.keep_one(odd).count() == odd.count() - 2 and minhash.keep_one(none).count() == 0
 
 
+def test_a_hot_class_is_split(spark, tmp_path):
+    small = {"autoBroadcastJoinThreshold": "-1", "adaptive.coalescePartitions.enabled": "false", "adaptive.advisoryPartitionSizeInBytes": "16k", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    hot = spark.range(20_000).selectExpr("id as doc_id", "'one text that a great many rows have in common' as text")
+    cold = spark.range(20_000, 22_000).selectExpr("id as doc_id", "sha2(cast(id as string), 256) as text")
+    path = str(tmp_path / "docs")
+    hot.unionByName(cold).repartition(8).write.parquet(path)
+    before = {k: spark.conf.get(f"spark.sql.{k}", None) for k in small}
+    for k, v in small.items():
+        spark.conf.set(f"spark.sql.{k}", v)
+    try:
+        found = minhash.near_duplicates(spark.read.parquet(path), k=3, percent=85)
+        rows = found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(f"spark.sql.{k}") if v is None else spark.conf.set(f"spark.sql.{k}", v)
+    assert {r.component_id for r in rows if r.doc_id < 20_000} == {0}
+    assert sum(r.kept for r in rows) == 2_001
+    assert "skew=true" in plan
+
+
 # ---------------------------------------------------------------- pipeline
 
 

@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -69,7 +71,7 @@ def bitmap(ids: DataFrame) -> bytes:
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("bits"))
     )
     out = bytearray(1 << (BITMAP_BITS - 3))
-    for r in parts.toLocalIterator():
+    for r in parts.collect():  # at most 2,048 rows of 4 KB
         at = (r.part - 1) * len(r.bits)
         out[at : at + len(r.bits)] = r.bits
     return bytes(out)
@@ -80,6 +82,18 @@ def bits_of(hashes: np.ndarray) -> np.ndarray:
     return hashes.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
 
 
+def in_bitmap(bits: Broadcast):
+    """A column function: whether the bit of a hash (long) is set in a broadcast bitmap()."""
+
+    @F.arrow_udf("boolean")
+    def held(hashes: pa.Array) -> pa.Array:
+        bit = bits_of(hashes.to_numpy(zero_copy_only=False).astype(np.int64))
+        have = np.frombuffer(bits.value, np.uint8)[bit >> np.uint64(3)]
+        return pa.array((have >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0)
+
+    return held
+
+
 LOCAL_BITS = 33  # monotonically_increasing_id: the row's place in its partition
 
 

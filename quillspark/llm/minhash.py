@@ -16,7 +16,8 @@
 
 Tables between the steps are written to the shared folder. Text never goes through a shuffle:
 the sets of the documents that need confirming are made in a second pass, picked by a bitmap
-of fixed size (8 MB; a false positive costs a needless set, nothing else).
+of fixed size (8 MB; a false positive costs a needless set, nothing else). keep_one() picks the
+rows that go by two such bitmaps, and joins only those that both hold.
 """
 
 from __future__ import annotations
@@ -330,10 +331,17 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, permutations: int =
     stays = (F.col("doc_id") == least) & F.coalesce("first", F.lit(True))
     found = found.groupBy("k1", "k2").agg(F.first(stays).alias("stays"), F.count("*").alias("n"))
     found = scratch.keep(found.where("n > 1 or not stays"))
-    keyed = docs.withColumns({f"_qs_k{i}": c for i, c in enumerate(row_keys(), 1)})
+    drops = found.where("not stays").select("k1", "k2")
+    first = docs.sparkSession.sparkContext.broadcast(C.bitmap(found.select(F.col("k1").alias("id"))))
+    spared = per_doc.select("k1", "k2").where(C.in_bitmap(first)("k1")).join(drops, ["k1", "k2"], "left_anti")
+    second = docs.sparkSession.sparkContext.broadcast(C.bitmap(spared.select(F.col("k2").alias("id"))))
+    keyed = docs.withColumns({f"_qs_k{i}": c for i, c in enumerate(row_keys(), 1)}).withColumn("_qs_in", C.in_bitmap(first)("_qs_k1"))
+    out = keyed.where("not _qs_in").select(docs.columns)
+    # in the first bitmap only: dropped; in both: for a join to tell, few rows unless many repeat
+    doubt = keyed.where("_qs_in").where(C.in_bitmap(second)("_qs_k2"))
     renamed = found.select(F.col("k1").alias("_qs_k1"), F.col("k2").alias("_qs_k2"), "stays")
-    out = keyed.join(renamed.drop("stays"), ["_qs_k1", "_qs_k2"], "left_anti")
+    out = out.unionByName(doubt.join(renamed.drop("stays"), ["_qs_k1", "_qs_k2"], "left_anti").select(docs.columns))
     if found.where("stays").limit(1).count():  # rows that repeat
-        again = keyed.join(renamed.where("stays").drop("stays"), ["_qs_k1", "_qs_k2"], "left_semi")
-        out = out.unionByName(again.dropDuplicates(["_qs_k1", "_qs_k2"]))
-    return out.select(docs.columns)
+        again = doubt.join(renamed.where("stays").drop("stays"), ["_qs_k1", "_qs_k2"], "left_semi")
+        out = out.unionByName(again.dropDuplicates(["_qs_k1", "_qs_k2"]).select(docs.columns))
+    return out

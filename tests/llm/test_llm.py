@@ -746,6 +746,30 @@ def test_a_hot_class_is_split(spark, tmp_path):
     assert "skew=true" in plan
 
 
+def test_texts_that_stay_or_go_are_not_shuffled(spark, tmp_path):
+    """The last step of keep_one() moves no text, also where what goes is too much to broadcast."""
+    r = random.Random(12)
+    texts = [" ".join(f"{r.getrandbits(48):x}" for _ in range(300)) for _ in range(400)]
+    rows = list(enumerate(texts)) + [(1000 + i, t + " end" * (i % 2)) for i, t in enumerate(texts[:300])] + [(7, texts[7]), (None, texts[0]), (None, None), (None, None)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(path)
+
+    def moved():
+        of = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(of.apply(i).totalShuffleWrite() for i in range(of.size()))
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = minhash.keep_one(spark.read.parquet(path))
+        began = moved()
+        got = Counter((x.doc_id, x.text) for x in found.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == Counter([*enumerate(texts), (None, texts[0]), (None, None), (None, None)])
+    assert moved() - began < 0.05 * sum(map(len, texts))
+
+
 # ---------------------------------------------------------------- pipeline
 
 

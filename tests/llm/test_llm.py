@@ -247,6 +247,33 @@ def test_quality_weights_are_at_the_minimum_of_the_pair_loss():
     assert abs((model.score(x) < quality.CUT).mean() - (~good).mean()) < 0.01
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    """Bad labels beyond the 20,000 rows of lowest id hash count."""
+    ids = spark.range(20_400).selectExpr("id as doc_id", "row_number() over (order by xxhash64(cast(id as string)), id) > 20000 as bad")
+    docs = ids.selectExpr("doc_id", "if(bad, concat('!!! ', doc_id, ' ### BUY'), concat('some plain words of text ', doc_id)) as text", "int(not bad) as quality").cache()
+    got = quality.score(docs, quality.fit(docs.drop("quality"), docs)).join(docs, "doc_id")
+    assert got.where("predicted <> quality").count() == 0
+    docs.unpersist()
+
+
+def test_quality_weights_are_at_the_minimum_of_the_loss_of_all_pairs(spark):
+    import pyarrow as pa
+
+    r = random.Random(17)
+    texts = [text(r, r.randint(5, 90)) + "!?" * r.randint(0, 3) for _ in range(240)]
+    y = np.array([t.count("!") + r.random() < 1.5 for t in texts])
+    df = spark.createDataFrame([(i, t, int(g)) for i, (t, g) in enumerate(zip(texts, y, strict=True))], "doc_id long, text string, quality int")
+    model = quality.fit(df, df)
+    x = quality.features(pa.array(texts))
+    want = np.quantile(x, np.linspace(0, 1, quality.BINS + 1)[1:-1], axis=0, method="lower")
+    assert np.allclose(model.edges, want, rtol=1e-4, atol=1e-9) and np.allclose(model.mean, x.mean(0), rtol=1e-2, atol=1e-6)
+    z = model.design(x).astype(float)
+    d = (z[y][:, None] - z[~y][None]).reshape(-1, z.shape[1])
+    grad = -d.T @ (1 / (1 + np.exp(d @ model.weights))) / len(d) + 1e-3 * model.weights
+    assert np.abs(grad).max() < 1e-4
+    assert abs(model.cut - np.quantile(z @ model.weights, (~y).mean())) < 1e-3
+
+
 # ---------------------------------------------------------------- 4
 
 

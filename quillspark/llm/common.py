@@ -61,15 +61,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BITMAP_BITS = 26
 
 
-def bitmap(ids: DataFrame) -> bytes:
+def bitmap_parts(ids: DataFrame) -> DataFrame:
     """A bitmap of 2^26 bits over the upper bits of the hashes `id` (long), put together on the
-    executors: 8 MB whatever the input."""
+    executors: rows (part, bits), at most 2,048 of 4 KB, whatever the input."""
     bit = F.shiftrightunsigned(F.col("id"), 64 - BITMAP_BITS)
-    parts = (
+    return (
         ids.select(bit.alias("bit"))
         .groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("part"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("bits"))
     )
+
+
+def where_in_bitmap(df: DataFrame, name: str, parts: DataFrame, is_in: bool = True) -> DataFrame:
+    """The rows of df whose hash `name` (long) has its bit set in bitmap_parts(), or the others; in
+    the JVM, by a broadcast of the parts."""
+    place = F.shiftrightunsigned(F.col(name), 64 - BITMAP_BITS) + 1
+    parts = parts.select(F.col("part").alias("_qs_part"), F.col("bits").alias("_qs_bits"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_qs_bits", (at / 8).cast("int") + 1, 1)), 16, 10).cast("long")
+    is_set = F.coalesce(F.getbit(byte, (at % 8).cast("int")), F.lit(0)) == 1
+    found = df.join(F.broadcast(parts), F.bitmap_bucket_number(place) == F.col("_qs_part"), "left")
+    return found.where(is_set if is_in else ~is_set).select(df.columns)
+
+
+def bitmap(ids: DataFrame) -> bytes:
+    """bitmap_parts() in one piece: 8 MB whatever the input."""
+    parts = bitmap_parts(ids)
     out = bytearray(1 << (BITMAP_BITS - 3))
     for r in parts.collect():  # at most 2,048 rows of 4 KB
         at = (r.part - 1) * len(r.bits)

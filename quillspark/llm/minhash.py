@@ -122,9 +122,10 @@ def shingle_sets(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     def make(batches):
         import pyarrow as pa
 
-        have = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little")
+        have = np.frombuffer(bits.value, np.uint8)
         for batch in batches:
-            batch = batch.filter(pa.array(have[batch.column("bit").to_numpy(zero_copy_only=False)] > 0))
+            bit = batch.column("bit").to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array((have[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0))
             if not batch.num_rows:
                 continue
             sets = [shingle_set(words, k) for _, words in doc_words(batch.column("text"))]
@@ -332,13 +333,13 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, permutations: int =
     found = found.groupBy("k1", "k2").agg(F.first(stays).alias("stays"), F.count("*").alias("n"))
     found = scratch.keep(found.where("n > 1 or not stays"))
     drops = found.where("not stays").select("k1", "k2")
-    first = docs.sparkSession.sparkContext.broadcast(C.bitmap(found.select(F.col("k1").alias("id"))))
-    spared = per_doc.select("k1", "k2").where(C.in_bitmap(first)("k1")).join(drops, ["k1", "k2"], "left_anti")
-    second = docs.sparkSession.sparkContext.broadcast(C.bitmap(spared.select(F.col("k2").alias("id"))))
-    keyed = docs.withColumns({f"_qs_k{i}": c for i, c in enumerate(row_keys(), 1)}).withColumn("_qs_in", C.in_bitmap(first)("_qs_k1"))
-    out = keyed.where("not _qs_in").select(docs.columns)
+    first = C.bitmap_parts(found.select(F.col("k1").alias("id")))
+    spared = C.where_in_bitmap(per_doc.select("k1", "k2"), "k1", first).join(drops, ["k1", "k2"], "left_anti")
+    first, second = scratch.keep(first), scratch.keep(C.bitmap_parts(spared.select(F.col("k2").alias("id"))))
+    keyed = docs.withColumns({f"_qs_k{i}": c for i, c in enumerate(row_keys(), 1)})
+    out = C.where_in_bitmap(keyed, "_qs_k1", first, False).select(docs.columns)
     # in the first bitmap only: dropped; in both: for a join to tell, few rows unless many repeat
-    doubt = keyed.where("_qs_in").where(C.in_bitmap(second)("_qs_k2"))
+    doubt = C.where_in_bitmap(C.where_in_bitmap(keyed, "_qs_k1", first), "_qs_k2", second)
     renamed = found.select(F.col("k1").alias("_qs_k1"), F.col("k2").alias("_qs_k2"), "stays")
     out = out.unionByName(doubt.join(renamed.drop("stays"), ["_qs_k1", "_qs_k2"], "left_anti").select(docs.columns))
     if found.where("stays").limit(1).count():  # rows that repeat

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -111,6 +112,35 @@ def in_bitmap(bits: Broadcast):
     return held
 
 
+PORTION = 4 << 20  # bytes of Arrow data that are worked on at once
+
+
+def release() -> None:
+    """Gives free memory of this process back to the system. Workers live on between tasks, and
+    would hold the most that any of them took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim:
+        trim(0)
+
+
+def by_portion(start, limit: int = PORTION):
+    """A function for mapInArrow. start() is called once a task and returns what turns a batch into
+    a batch; this gets each batch in runs of rows of `limit` bytes on average. So a worker holds one
+    batch and copies of a portion, and no more than its models between batches."""
+
+    def run(batches):
+        work = start()
+        for batch in batches:
+            step = max(1, batch.num_rows * limit // max(limit, batch.nbytes))
+            for i in range(0, batch.num_rows, step):
+                yield work(batch.slice(i, step))
+            del batch  # else it is held while the next one is read
+            release()
+
+    return run
+
+
 LOCAL_BITS = 33  # monotonically_increasing_id: the row's place in its partition
 
 

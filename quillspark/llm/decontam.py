@@ -282,12 +282,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, match: int = MATCH, coverage: f
         return docs.select("*", *_keys()).join(gone, ["_qs_k1", "_qs_k2"], "left_anti").select(docs.columns)
     held = docs.sparkSession.sparkContext.broadcast(rows)
 
-    def keep(batches):
+    def start():
         import pyarrow as pa
 
         passages = Passages(held.value, match)
-        for batch in batches:
+
+        def keep(batch):
             ok = [next(passages.leaks(words, coverage), None) is None for _, words in texts_words(batch.column("text"))]
-            yield batch.filter(pa.array(ok, pa.bool_()))
+            return batch.filter(pa.array(ok, pa.bool_()))
+
+        return keep
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(C.by_portion(start), docs.schema)

@@ -90,11 +90,12 @@ def sketches(docs: DataFrame, k: int, permutations: int, bands: int, rows: int)
     if bands * rows > 2 * permutations:
         raise ValueError("more band rows than signature values")
 
-    def make(batches):
+    def start():
         import pyarrow as pa
 
         a, b = family(permutations)
-        for batch in batches:
+
+        def make(batch):
             n, f1, f2, keys, compact = [], [], [], [], []
             for _, words in doc_words(batch.column("text")):
                 s = shingle_set(words, k)
@@ -109,9 +110,11 @@ def sketches(docs: DataFrame, k: int, permutations: int, bands: int, rows: int)
                     keys.append(None)
                     compact.append(None)
             cols = [*(batch.column(c) for c in ("doc_id", "k1", "k2")), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(compact, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "k1", "k2", "n_shingles", "f1", "f2", "keys", "compact"])
+            return pa.RecordBatch.from_arrays(cols, names=["doc_id", "k1", "k2", "n_shingles", "f1", "f2", "keys", "compact"])
+
+        return make
 
-    return docs.select(F.col("doc_id").cast("long"), "text", *row_keys()).mapInArrow(make, f"doc_id long, {SKETCH_SCHEMA}")
+    return docs.select(F.col("doc_id").cast("long"), "text", *row_keys()).mapInArrow(C.by_portion(start), f"doc_id long, {SKETCH_SCHEMA}")
 
 
 def shingle_sets(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
@@ -119,23 +122,24 @@ def shingle_sets(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     rows whose doc_id is a representative's and whose own set is the class's."""
     bits = docs.sparkSession.sparkContext.broadcast(C.bitmap(classes.select(F.xxhash64("rep").alias("id"))))
 
-    def make(batches):
+    def start():
         import pyarrow as pa
 
         have = np.frombuffer(bits.value, np.uint8)
-        for batch in batches:
+
+        def make(batch):
             bit = batch.column("bit").to_numpy(zero_copy_only=False)
             batch = batch.filter(pa.array((have[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0))
-            if not batch.num_rows:
-                continue
             sets = [shingle_set(words, k) for _, words in doc_words(batch.column("text"))]
-            f = np.array([(len(s), *fingerprint(s)) for s in sets], np.int64)
+            f = np.array([(len(s), *fingerprint(s)) for s in sets], np.int64).reshape(-1, 3)
             cols = [batch.column("rep"), *(pa.array(f[:, i]) for i in range(3)), pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["rep", *CLASS, "hashes"])
+            return pa.RecordBatch.from_arrays(cols, names=["rep", *CLASS, "hashes"])
+
+        return make
 
     bit = F.shiftrightunsigned(F.xxhash64("rep"), 64 - C.BITMAP_BITS)
     rows = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("rep is not null").withColumn("bit", bit)
-    found = rows.mapInArrow(make, "rep long, n_shingles long, f1 long, f2 long, hashes binary")
+    found = rows.mapInArrow(C.by_portion(start), "rep long, n_shingles long, f1 long, f2 long, hashes binary")
     return found.join(classes, ["rep", *CLASS]).dropDuplicates(["id"]).select("id", "hashes")
 
 

@@ -80,14 +80,15 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece. Longer documents are cut from
     the end, so only the first piece may be shorter than the capacity."""
 
-    def make(batches):
+    def start():
         import pyarrow as pa
 
         from .bpe import encoder
 
         enc = encoder(path)
         last = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+
+        def make(batch):
             at, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(batch.column("text")):
                 ids = enc.ids(text.as_py() or "") + last
@@ -101,10 +102,12 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
                     length.append(e - s)
                     crc.append(zlib.crc32(ids[4 * s : 4 * e]))
             cols = [batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            return pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+        return make
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        make, "doc_id long, piece int, start long, length long, ids_crc32 long"
+        C.by_portion(start), "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
 
 

@@ -102,6 +102,54 @@ def test_sharding_odd_rows(odd, none):
     assert sharding.shard_by_size(none).count() == 0
 
 
+class Plan:
+    """Stands for a DataFrame, to get the function that mapInArrow is given."""
+
+    schema = None
+
+    def __init__(self, spark):
+        self.sparkSession = spark
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, f, _):
+        return f
+
+
+@pytest.mark.parametrize("stage", ["clean", "sketches", "pieces"])
+def test_workers_hold_one_batch(spark, stage):
+    """When the next batch is asked for, the one before is gone; what comes out of one is small."""
+    import pyarrow as pa
+
+    batch = lambda: pa.RecordBatch.from_pydict({"doc_id": list(range(1_000)), "k1": [1] * 1_000, "k2": [2] * 1_000, "text": [f"row {i} " + "ab " * 7_000 for i in range(1_000)]})
+    passages = spark.createDataFrame([(1, "no such words in any text")], "item_id long, text string")
+    run = {"clean": lambda d: decontam.clean(d, passages), "sketches": lambda d: minhash.sketches(d, 5, 8, 3, 5), "pieces": lambda d: packing.pieces(d, PATH, 1024, 2)}[stage](Plan(spark))
+    held, rows, most, before = [], set(), 0, pa.total_allocated_bytes()
+
+    def batches():
+        for _ in range(3):
+            held.append(pa.total_allocated_bytes() - before)
+            yield batch()
+
+    for out in run(batches()):
+        most = max(most, out.nbytes)
+        rows |= set(out.column("doc_id").to_pylist())
+        del out
+    assert max(held) < 5 << 20 and most < 6 << 20 and rows == set(range(1_000))
+
+
+def test_portions_are_all_rows():
+    import pyarrow as pa
+
+    texts = ["a", None, "", "b" * 50, "c" * 9] * 20
+    batches = [pa.RecordBatch.from_pydict({"i": list(range(n)), "text": pa.array(texts[:n], pa.string())}) for n in (100, 0, 1, 7)]
+    for limit in (1, 60, 1 << 20):
+        got = list(C.by_portion(lambda: lambda b: b, limit)(iter(batches)))
+        assert sum((b.to_pylist() for b in got), []) == sum((b.to_pylist() for b in batches), [])
+        assert max(b.num_rows for b in got) == {1: 1, 60: 2, 1 << 20: 100}[limit]
+
+
 # ---------------------------------------------------------------- 2
 
 

@@ -28,6 +28,20 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table as a stream, be it one file or a folder of files. The path is a pattern, as the file
+    source takes no plain path of one file."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).option("basePath", sf_dir).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+def drain(df: DataFrame) -> DataFrame:
+    """The rows of a stream that is run to its end, through files: nothing of them comes to the driver."""
+    path = _place(df.sparkSession)
+    sink = df.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/log")
+    sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")
+
+
 def query(sql: str | None = None, name: str | None = None):
     def keep(f):
         key = name or f.__name__
@@ -349,19 +363,11 @@ def dense_rows(spark, sf_dir):
 
 @query(f"{_TF} select tok.doc_id, term, col, count(*) as n from tok join voc using (term) group by all")
 def count_streaming(spark, sf_dir):
-    """count_stream() over documents as a stream, run to its end through the memory sink."""
-    import uuid
-
+    """count_stream() over documents as a stream, run to its end."""
     from ..streaming.vectorize import count_stream
 
-    schema = table(spark, sf_dir, "documents").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
-    name = f"counted_{uuid.uuid4().hex}"
-    found = count_stream(source, keep(CountVectorizer().fit(texts(spark, sf_dir))))
-    q = found.writeStream.format("memory").queryName(name).outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
-    return spark.table(name).groupBy("doc_id", "term", "col").agg(F.count("*").alias("n"))
+    found = count_stream(stream(spark, sf_dir, "documents"), keep(CountVectorizer().fit(texts(spark, sf_dir))))
+    return drain(found).groupBy("doc_id", "term", "col").agg(F.count("*").alias("n"))
 
 
 # ---------------------------------------------------------------- metrics

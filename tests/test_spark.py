@@ -249,6 +249,19 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
     assert left == right
 
 
+@pytest.mark.parametrize("name", ["count_streaming"])
+def test_streams_read_a_folder_of_files(spark, sf_dir, tmp_path, name):
+    """A table of several files, beside another one, gives what the table of one file gives."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 4 = 0")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/one/x")
+    (one,) = (tmp_path / "one/x").glob("*.parquet")
+    one.rename(tmp_path / "one/documents.parquet")
+    docs.repartition(3).write.parquet(f"{tmp_path}/many/documents.parquet")
+    docs.write.parquet(f"{tmp_path}/many/documents.parquet.old")
+    one, many = (sorted(map(tuple, entry().queries()[name](spark, f"{tmp_path}/{d}").collect())) for d in ("one", "many"))
+    assert one and one == many
+
+
 def test_embeddings_pool_whole_texts(spark, sf_dir):
     import numpy as np
 

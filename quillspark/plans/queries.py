@@ -245,18 +245,11 @@ def hashing_vectorizer(spark, sf_dir):
 @query(_HASHED.format(tokens=_TOKENS) + """select d.doc_id, coalesce(n, 0)::int as cells, coalesce(l1, 0) as l1 from documents d
 left join (select doc_id, count(*) as n, round(sum(abs(value)), 6) as l1 from vec group by doc_id) using (doc_id)""")
 def stream_hashing(spark, sf_dir):
-    """hash_stream() over documents as a stream, run to its end through the memory sink."""
-    import uuid
-
+    """hash_stream() over documents as a stream, run to its end."""
     from ..streaming.vectorize import hash_stream
 
-    docs = table(spark, sf_dir, "documents")
-    source = spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
-    name = f"hashed_{uuid.uuid4().hex}"
-    q = hash_stream(source, HashOptions(n_features=1 << 18)).writeStream.format("memory").queryName(name).outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
-    return spark.table(name).select("doc_id", F.size("cells").alias("cells"), r6(F.aggregate("cells", F.lit(0.0), lambda s, c: s + F.abs(c["value"])), "l1"))
+    found = hash_stream(stream(spark, sf_dir, "documents"), HashOptions(n_features=1 << 18))
+    return drain(found.select("doc_id", F.size("cells").alias("cells"), r6(F.aggregate("cells", F.lit(0.0), lambda s, c: s + F.abs(c["value"])), "l1")))
 
 
 @query("select doc_id, strip_accents(lower(text)) as text from documents")

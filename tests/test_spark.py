@@ -249,7 +249,7 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
     assert left == right
 
 
-@pytest.mark.parametrize("name", ["count_streaming"])
+@pytest.mark.parametrize("name", ["count_streaming", "stream_hashing"])
 def test_streams_read_a_folder_of_files(spark, sf_dir, tmp_path, name):
     """A table of several files, beside another one, gives what the table of one file gives."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 4 = 0")

@@ -40,7 +40,9 @@ def _count_options(d: dict) -> CountOptions:
 VOCABULARY = "term string, col long, df long, n long"
 
 
-def _vocabulary(spark: SparkSession, path: str, schema: str, limits: Limits) -> DataFrame:
+def _vocabulary(spark: SparkSession, path: str, schema: str, limits: Limits | None) -> DataFrame:
+    """The saved table. Limits hold only if they are given: nothing of it comes to the driver, so what
+    could be fitted and saved can be loaded."""
     v = spark.read.schema(schema).parquet(f"{path}/table")
     # columns must number the terms in order, without gaps
     order = W.partitionBy(F.floor(F.col("col") / 100_000)).orderBy("col")
@@ -48,7 +50,7 @@ def _vocabulary(spark: SparkSession, path: str, schema: str, limits: Limits) ->
         F.count("*").alias("n"), F.max("col").alias("m"), F.countDistinct("col").alias("d"), F.max(F.length("term")).alias("t"),
         F.max(F.coalesce(F.col("_l") >= F.col("term"), F.lit(False))).alias("unsorted"),
     ).first()
-    if bad.n > limits.vocabulary or (bad.t or 0) > limits.token_length:
+    if limits and (bad.n > limits.vocabulary or (bad.t or 0) > limits.token_length):
         raise ValueError("the vocabulary is over the limits")
     if bad.n and (bad.unsorted or bad.m != bad.n - 1 or bad.d != bad.n):
         raise ValueError("the vocabulary isn't sorted or has gaps")
@@ -59,7 +61,7 @@ def save_count(v: CountVectorizer, vocabulary: DataFrame, path: str) -> None:
     _save(vocabulary.sparkSession, path, "count", dataclasses.asdict(v.options), vocabulary.select("term", "col", "df", "n"))
 
 
-def load_count(spark: SparkSession, path: str, limits: Limits = Limits()) -> tuple[CountVectorizer, DataFrame]:
+def load_count(spark: SparkSession, path: str, limits: Limits | None = None) -> tuple[CountVectorizer, DataFrame]:
     return CountVectorizer(_count_options(_load(spark, path, "count"))), _vocabulary(spark, path, VOCABULARY, limits)
 
 

@@ -12,6 +12,7 @@ from quillspark.functions import text as T
 from quillspark.operators import fuzzy, metrics, vectors
 from quillspark.operators.vectorize import CountOptions, CountVectorizer, HashingVectorizer, HashOptions, TfidfOptions, TfidfVectorizer, to_dense
 from quillspark.sources import artifacts
+from quillspark.sources.vocab import Limits
 from quillspark.streaming.vectorize import hash_stream
 
 DOCS = ["the cat sat on the mat", "a cat and a dog", "the dog barked loudly", "cats and dogs are friends", "the quick brown fox"]
@@ -209,6 +210,19 @@ def test_artifacts_round_trip(spark, docs, tmp_path):
         artifacts.load_count(spark, f"{tmp_path}/t")
 
 
+@pytest.mark.parametrize("kind", ["count"])
+def test_a_large_vocabulary_loads(spark, tmp_path, kind):
+    """Over a million terms, one of them of 2,000 characters; a limit that is given still holds."""
+    term = F.when(F.col("id") == 0, F.lpad(F.lit("0"), 2000, "0")).otherwise(F.concat(F.lit("1"), F.lpad(F.col("id").cast("string"), 7, "0")))
+    known = spark.range(1_000_001).select(term.alias("term"), F.col("id").alias("col"), F.lit(1).cast("long").alias("df"), F.lit(9).cast("long").alias("n"), F.lit(1.0).alias("idf"))
+    save, load, v = {"count": (artifacts.save_count, artifacts.load_count, CountVectorizer()), "tfidf": (artifacts.save_tfidf, artifacts.load_tfidf, TfidfVectorizer())}[kind]
+    save(v, known, f"{tmp_path}/v")
+    assert load(spark, f"{tmp_path}/v")[1].count() == 1_000_001
+    for small in (Limits(token_length=3000), Limits(vocabulary=2_000_000)):
+        with pytest.raises(ValueError):
+            load(spark, f"{tmp_path}/v", small)
+
+
 def test_stop_words(spark):
     assert len(stopwords.FRENCH) == 154 and "der" in stopwords.stop_words(spark, "de")
 

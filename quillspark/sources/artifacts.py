@@ -72,7 +72,7 @@ def save_tfidf(v: TfidfVectorizer, vocabulary: DataFrame, path: str) -> None:
     _save(vocabulary.sparkSession, path, "tfidf", dataclasses.asdict(v.options), vocabulary.select("term", "col", "df", "n", "idf"))
 
 
-def load_tfidf(spark: SparkSession, path: str, limits: Limits = Limits()) -> tuple[TfidfVectorizer, DataFrame]:
+def load_tfidf(spark: SparkSession, path: str, limits: Limits | None = None) -> tuple[TfidfVectorizer, DataFrame]:
     d = _load(spark, path, "tfidf")
     options = TfidfOptions(**d | {"count": _count_options(d["count"])})
     return TfidfVectorizer(options), _vocabulary(spark, path, VOCABULARY + ", idf double", limits)

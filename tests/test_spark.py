@@ -210,7 +210,7 @@ def test_artifacts_round_trip(spark, docs, tmp_path):
         artifacts.load_count(spark, f"{tmp_path}/t")
 
 
-@pytest.mark.parametrize("kind", ["count"])
+@pytest.mark.parametrize("kind", ["count", "tfidf"])
 def test_a_large_vocabulary_loads(spark, tmp_path, kind):
     """Over a million terms, one of them of 2,000 characters; a limit that is given still holds."""
     term = F.when(F.col("id") == 0, F.lpad(F.lit("0"), 2000, "0")).otherwise(F.concat(F.lit("1"), F.lpad(F.col("id").cast("string"), 7, "0")))

@@ -3,12 +3,18 @@ fitted vocabulary joins as a static table."""
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
+from ..functions.pairs import hashed_cells
 from ..operators.vectorize import CountOptions, HashOptions
 
+CELLS = ArrayType(StructType([StructField("col", LongType()), StructField("value", DoubleType())]))
+#: Rows of a batch that are hashed at once, which bounds a worker's memory.
+ROWS = 256
+
 
 def hash_stream(docs: DataFrame, options: HashOptions = HashOptions(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, cells array<struct<col, value>>): the hashed vector within each row, so that no state
@@ -16,28 +22,27 @@ def hash_stream(docs: DataFrame, options: HashOptions = HashOptions(), id_col: s
     terms = options.count.terms(text_col)
     rows = docs.select(id_col, terms.alias("terms"))
 
-    n, alternate, binary, norm = options.n_features, options.alternate_sign, options.count.binary, options.norm
-
-    @F.pandas_udf("array<struct<col:bigint,value:double>>")
-    def cells(batch: pd.Series) -> pd.Series:
-        from ..functions.kernels import murmur3 as h
-
-        memo: dict = {}
-        out = []
-        for ts in batch:
-            row: dict = {}
-            for t in dict.fromkeys(ts) if binary else ts:
-                if t not in memo:
-                    x = h(t)
-                    memo[t] = (abs(x) % n, -1.0 if x < 0 and alternate else 1.0)
-                c, s = memo[t]
-                row[c] = row.get(c, 0.0) + s
-            row = {c: v for c, v in row.items() if v}
-            size = 1.0 if norm is None else sum(abs(v) for v in row.values()) if norm == "l1" else sum(v * v for v in row.values()) ** 0.5
-            out.append([{"col": c, "value": v / size} for c, v in sorted(row.items())])
-        return pd.Series(out)
-
-    return rows.select(id_col, cells(F.coalesce("terms", F.array().cast("array<string>"))).alias("cells"))
+    n, norm = options.n_features, options.norm
+    count = hashed_cells("row", n, options.alternate_sign, options.count.binary)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                terms = part.column(1).fill_null([])
+                (cells,) = count([pa.RecordBatch.from_arrays([pa.array(np.arange(part.num_rows)), terms], names=["row", "terms"])])
+                row, col, v = (np.asarray(c) for c in cells.columns)
+                row, col, v = row[v != 0], col[v != 0], v[v != 0]
+                if norm is not None:
+                    size = np.bincount(row, np.abs(v) if norm == "l1" else v * v, part.num_rows)
+                    v = v / (size if norm == "l1" else np.sqrt(size))[row]
+                ends = np.cumsum(np.bincount(row, minlength=part.num_rows))
+                cells = pa.StructArray.from_arrays([pa.array(col), pa.array(v)], names=["col", "value"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), cells)], names=[id_col, "cells"])
+
+    return rows.mapInArrow(run, StructType([rows.schema[0], StructField("cells", CELLS)]))
 
 
 def count_stream(docs: DataFrame, vocabulary: DataFrame, options: CountOptions = CountOptions(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
